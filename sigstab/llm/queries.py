@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, packing, rules, simhash, tokens
+from . import html, mixing, packing, pii, rules, simhash, tokens
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op6_simhash, op7_html_text, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_pii, op6_simhash, op7_html_text, op9_mixing, op10_token_counts)}
 ORACLE_SQL = {"op1_quality_rules": rules.ORACLE_SQL}
