@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, mixing, packing, pii, rules, simhash, tokens
+from . import html, mixing, packing, pii, quality, rules, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -12,10 +13,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -28,6 +37,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents"))
 
@@ -36,5 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_pii, op6_simhash, op7_html_text, op9_mixing, op10_token_counts)}
-ORACLE_SQL = {"op1_quality_rules": rules.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_quality, op5_pii, op6_simhash, op7_html_text, op8_exact_topk, op9_mixing, op10_token_counts)
+}
+ORACLE_SQL = {"op1_quality_rules": rules.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL}
