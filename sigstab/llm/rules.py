@@ -6,7 +6,7 @@ policy decides from the distinct bit patterns, of which there are at most 2 ** l
 
 Defined results: a null text counts as empty (no words, so ``few_words`` fails); empty tables give empty results; rows
 are never merged, so repeated rows give repeated results; columns of the input that clash with a measurement's name
-are replaced by it in ``ledger``.
+are replaced by it in ``ledger``; ``verdicts`` and ``keep`` read the text alone, and leave such columns as they are.
 """
 
 from __future__ import annotations
@@ -83,7 +83,9 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for k, (_, fails) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(0).cast("long"))
-    return df.withColumn("fail_bits", bits).drop("_t", "_w", "_l", "_g", "_s")
+    # A generator, so that a filter on the bits isn't pushed below it, where it would work out every measurement anew
+    made = F.inline(F.array(F.struct(*MEASURES, bits.alias("fail_bits"))))
+    return df.select(*[c for c in docs.columns if c not in (*MEASURES, "fail_bits")], made)
 
 
 def failed(policy: Policy) -> Column:
@@ -118,6 +120,12 @@ def verdicts(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id")
     )
 
 
+def keep(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """The rows of ``docs``, untouched, that fail no rule of the policy."""
+    whole = F.struct(*docs.columns).alias("_row")
+    return ledger(docs.select(whole, "text")).where(~failed(policy)).select("_row.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
