@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import *  # noqa: F403
+from .operators import models, trees
 from .catalog import (
     BASE, BEST, CANDIDATES, DOC2, FOLDS, INNER, LI, METHODS, OUTER, QUERIES, RANKS, SAMPLES, SEARCH, SEARCHED, TRAIN0, UNIQUE,
     DataFrame, F, SparkSession, Window, anova_sql, bh_sql, cascade_sql, chi2_sql, distance_sql, evaluate, kruskal_sql, matrix, moments_sql, mutual_sql, nearest_sql, normal_sql, obs_sql, plan, query,
@@ -657,3 +657,84 @@ def tree_filter(spark, sf_dir):
     good = stats.passing(stats.benjamini_hochberg(stats.kruskal(obs)), 0.3, "p").select("feature")
     masked = scaling.bands(scaling.robust(obs.join(good, "feature", "left_semi")))
     return masked.groupBy("feature").agg(F.count("up").alias("n_up"), F.count("down").alias("n_down"))
+
+
+# Fitted models: results depend on the optimiser, so these have no twin
+
+
+def part_of(spark, sf_dir, features: int = 8) -> DataFrame:
+    from pyspark.sql import functions as G
+
+    return emb(spark, sf_dir).where(G.col("feature_pos") < features)
+
+
+@query()
+def mlr_weights_rank(spark, sf_dir):
+    return models.weight_rank(emb(spark, sf_dir), "ridge").unionByName(models.weight_rank(emb(spark, sf_dir), "lasso"))
+
+
+@query()
+def tree_importance_rank(spark, sf_dir):
+    return models.weight_rank(emb(spark, sf_dir), "forest")
+
+
+@query()
+def svm_weights_rank(spark, sf_dir):
+    return models.weight_rank(part_of(spark, sf_dir), "svm")
+
+
+@query()
+def rfe_rank(spark, sf_dir):
+    return models.elimination_rank(part_of(spark, sf_dir, 6))
+
+
+@query()
+def rfa_rank(spark, sf_dir):
+    return models.addition_rank(part_of(spark, sf_dir, 6))
+
+
+@query()
+def rfa_cv(spark, sf_dir):
+    return models.addition_cv(part_of(spark, sf_dir, 3), 2)
+
+
+@query()
+def stability_selection(spark, sf_dir):
+    return models.stability_selection(part_of(spark, sf_dir))
+
+
+@query()
+def lda_rank(spark, sf_dir):
+    return models.lda_rank(emb(spark, sf_dir))
+
+
+@query()
+def bagging_vote(spark, sf_dir):
+    obs = emb(spark, sf_dir)
+    return models.bagged_centroids(obs, splits3(obs))
+
+
+@query()
+def soft_vote(spark, sf_dir):
+    return models.soft_vote(part_of(spark, sf_dir))
+
+
+@query()
+def rbf_classifier(spark, sf_dir):
+    obs = part_of(spark, sf_dir)
+    return models.kernel_classifier(obs.where("sample_id % 4 <> 0"), obs.where("sample_id % 4 = 0"))
+
+
+@query()
+def ridge_grid_search(spark, sf_dir):
+    return models.grid_search(part_of(spark, sf_dir), grid=(0.1, 10.0))
+
+
+@query()
+def knn_mutual_info(spark, sf_dir):
+    return models.neighbour_information(emb(spark, sf_dir))
+
+
+@query()
+def nj_trees(spark, sf_dir):
+    return trees.feature_trees(emb(spark, sf_dir).where("sample_id < 40"))
