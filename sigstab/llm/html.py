@@ -160,7 +160,8 @@ def main_text(html: str | None) -> str:
     if len(blocks) == 1:
         return open_to[0][0]
     cut = min(_two_means(np.log1p(ratio)), float(np.log1p(ratio).max()))
-    return "\n".join(b[0] for b, x in zip(blocks, np.log1p(ratio), strict=True) if not b[3] and (x >= cut or b[2] == 0 and x >= 0.5 * cut))
+    own = [2 * b[2] < len(b[0]) for b in blocks]  # a block that is mostly link isn't content, whatever its neighbours are
+    return "\n".join(b[0] for b, x, o in zip(blocks, np.log1p(ratio), own, strict=True) if not b[3] and o and (x >= cut or b[2] == 0 and x >= 0.5 * cut))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -65,7 +65,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with MEASURES, and ``fail_bits``."""
+    """The rows of ``docs`` with MEASURES, and ``fail_bits``; store them (a table or checkpoint) before asking about policies."""
     df = docs.withColumn("_t", text_of(F.col(text_col))).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     left = lambda pattern: F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))
