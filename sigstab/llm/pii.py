@@ -236,7 +236,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with every span replaced by its kind in angle brackets; n_chars, if there, is counted anew.
 
-    Write or checkpoint the result before looking for spans in it again: two such plans in one take very long to optimise.
+    Write or checkpoint the result before looking for spans in it again: two such searches in one plan did not end in a test.
     """
     df = with_spans(docs, text_col)
     by_place = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["end"].alias("end"), s["kind"].alias("kind"))))

@@ -84,7 +84,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                 m = _matrix(rows["v"], width)
                 lo, hi, count = found.get(block, (m[0], m[0], 0))
                 found[block] = [np.minimum(lo, m.min(axis=0)), np.maximum(hi, m.max(axis=0)), count + len(m)]
-        yield pd.DataFrame({"block": list(found), "lo": [x[0] for x in found.values()], "hi": [x[1] for x in found.values()]}, columns=["block", "lo", "hi"])
+        if found:
+            yield pd.DataFrame({"block": list(found), "lo": [x[0] for x in found.values()], "hi": [x[1] for x in found.values()]}, columns=["block", "lo", "hi"])
 
     table = blocks.mapInPandas(bounds, "block int, lo array<long>, hi array<long>").collect()
     names = np.array([r["block"] for r in table], np.int64)
