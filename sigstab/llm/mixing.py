@@ -8,7 +8,7 @@
 3. The tree deals the quotas to the output shards: a node halves its draws by a multivariate hypergeometric sample of
    its counts by source, down to one shard a leaf (``split_quotas``). Only the counts by source move here.
 4. Each source's draws, permuted anew, fill the shards' quotas in turn, so the shards draw disjoint blocks; the rows of
-   a shard are then shuffled inside it (``mix``).
+   a shard are then shuffled inside it (``mix``). A shard's order is cut into 2 ** PIECE_BITS runs, so no task holds a whole shard.
 
 All randomness is a hash of the seed, ids and positions, so reruns agree. A hot source is spread over its blocks.
 
@@ -28,7 +28,9 @@ from .common import checkpointed, n_words, text_of
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
 #: Blocks of a source at most, rows of a block at least (about), words of an output shard about, levels of the tree at most.
-BLOCKS, BLOCK_ROWS, SHARD_WORDS, LEVELS = 1024, 32, 4_000_000, 12
+BLOCKS, BLOCK_ROWS, SHARD_WORDS, LEVELS = 8192, 32, 4_000_000, 12
+#: Runs of a shard, by the leading PIECE_BITS of a row's place in the shard's order.
+PIECE_BITS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -194,4 +196,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     out = rows.withColumn("text", cut).withColumn("_shard", F.col("d.shard")).withColumn("_place", place)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns)
+    piece = F.shiftrightunsigned("_place", 64 - PIECE_BITS)
+    return out.repartition(F.col("_shard"), piece).sortWithinPartitions("_shard", "_place").select(*docs.columns)
