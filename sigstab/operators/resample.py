@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,21 +69,32 @@ def class_balance(samples: DataFrame) -> DataFrame:
     return each.select("n_min", (F.col("n_min") - 1).alias("reference_min"), ratio.alias("ratio"), (ratio <= 0.95).alias("unbalanced"), F.when(F.col("n_min") < 11, small).otherwise(0.2).alias("test_size"))
 
 
-def smote(obs: DataFrame, minority: str, new: int, k: int = 5, seed: int = 0) -> DataFrame:
+def smote(obs: DataFrame, minority: str, new: int | None = None, k: int = 5, seed: int = 0) -> DataFrame:
     """Synthetic samples of the minority class: ``new`` points on the way from a sample to one of its k nearest of the class.
 
-    The class is meant to be small: its samples are compared in pairs.
+    Without ``new``, the class is filled to the size of the largest. Only samples that are drawn are compared with their class.
     """
-    from .stats import distances
+    from .stats import nearest
 
     own = obs.where(F.col("label") == minority).select("sample_id", "feature", "value")
-    d = distances(own)
-    both = d.union(d.select("b", "a", "d"))
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
     base = own.select("sample_id").distinct().withColumn("n", F.row_number().over(Window.orderBy(hash_order(F.lit(seed), F.col("sample_id")), "sample_id")) - 1)
+    if new is None:
+        most = samples_of(obs).groupBy("label").count().agg(F.max("count")).first()[0] or 0
     m = base.count()
+    new, k = most - m if new is None else new, min(k, m - 1)
+    if new and m < 2:
+        raise ValueError(f"class {minority} has {m} samples: no neighbours to go to")
+    near = nearest(own, base.where(F.col("n") < new), max(1, k))
     number = lambda *parts: F.conv(F.substring(hash_order(F.lit(seed), *parts), 1, 8), 16, 10).cast("long")
-    want = obs.sparkSession.range(new).select(F.col("id").alias("new_id"), (F.col("id") % max(1, m)).cast("int").alias("n"), (number(F.lit("k"), F.col("id")) % k + 1).alias("r"), (number(F.lit("u"), F.col("id")) / F.lit(4294967296.0)).alias("u"))
+    want = obs.sparkSession.range(new).select(F.col("id").alias("new_id"), (F.col("id") % max(1, m)).cast("int").alias("n"), (number(F.lit("k"), F.col("id")) % max(1, k) + 1).alias("r"), (number(F.lit("u"), F.col("id")) / F.lit(4294967296.0)).alias("u"))
     pick = want.join(base, "n").join(near.select(F.col("a").alias("sample_id"), "b", "r"), ["sample_id", "r"])
     x, y = own.withColumnRenamed("value", "x"), own.select(F.col("sample_id").alias("b"), "feature", F.col("value").alias("y"))
     return pick.join(x, "sample_id").join(y, ["b", "feature"]).select("new_id", F.lit(minority).alias("label"), "feature", (F.col("x") + F.col("u") * (F.col("y") - F.col("x"))).alias("value"))
+
+
+def smote_to_majority(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """Synthetic samples (new_id counts within a label) that fill every class to the size of the largest."""
+    sizes = {r["label"]: r["count"] for r in samples_of(obs).groupBy("label").count().collect()}
+    most = max(sizes.values(), default=0)
+    parts = [smote(obs, c, most - n, k, seed) for c, n in sorted(sizes.items()) if n < most]
+    return reduce(DataFrame.unionByName, parts) if parts else obs.limit(0).select(F.lit(0).cast("long").alias("new_id"), "label", "feature", "value")

@@ -5,6 +5,8 @@ Features whose values are all equal get null statistics instead of an error. Two
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,9 +156,82 @@ def correlation_groups(tests: DataFrame, cut: float = 0.9, alpha: float = 0.05)
     return strong.join(gone, "a", "left_anti").groupBy(F.col("a").alias("kept")).agg(F.array_sort(F.collect_set("b")).alias("dropped"))
 
 
+#: Samples in a block of the pairwise comparisons; two blocks meet in one task.
+BLOCK = 1024
+
+
+def _packed(obs: DataFrame) -> tuple[DataFrame, int]:
+    """sample_id, x (values in the order of features; null where there is none), and the number of blocks."""
+    names = [r[0] for r in obs.select("feature").distinct().orderBy("feature").collect()] or [""]
+    at = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
+    rows = obs.groupBy("sample_id").agg(at.alias("_m"))
+    x = F.transform(F.array(*map(F.lit, names)), lambda n: F.element_at("_m", n))
+    return rows.select("sample_id", x.alias("x")), max(1, -(-obs.select("sample_id").distinct().count() // BLOCK))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances over the features that both have; NaN where there are none."""
+    total, seen = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), bool)
+    for f in range(x.shape[1]):
+        d = x[:, f, None] - y[None, :, f]
+        has = ~np.isnan(d)
+        total += np.where(has, d * d, 0)
+        seen |= has
+    return np.sqrt(np.where(seen, total, np.nan))
+
+
+def _stack(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in pdf["x"]])
+
+
 def distances(obs: DataFrame) -> DataFrame:
-    """a, b, d: Euclidean distance of every pair of samples."""
-    rows = obs.select("sample_id", "feature", "value")
-    x, y = rows.alias("x"), rows.alias("y")
-    both = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.sample_id") < F.col("y.sample_id")))
-    return both.groupBy(F.col("x.sample_id").alias("a"), F.col("y.sample_id").alias("b")).agg(F.sqrt(F.sum(F.pow(F.col("x.value") - F.col("y.value"), 2))).alias("d"))
+    """a, b, d: Euclidean distance of every pair of samples that share a feature, over the features they share.
+
+    Packed samples are dealt into blocks by hash, and each pair of blocks is a group: a sample is sent once for each block.
+    """
+    rows, blocks = _packed(obs)
+    kind = obs.schema["sample_id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("own")
+    sent = rows.select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_id")
+        p, q = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": pdf["sample_id"][:0], "b": pdf["sample_id"][:0], "d": np.zeros(0)})
+        d, a, b = _apart(_stack(p), _stack(q)), p["sample_id"].to_numpy(), q["sample_id"].to_numpy()
+        m, n = np.nonzero(~np.isnan(d) & ((a[:, None] < b[None, :]) if key[0] == key[1] else True))
+        first = a[m] < b[n]
+        return pd.DataFrame({"a": np.where(first, a[m], b[n]), "b": np.where(first, b[n], a[m]), "d": d[m, n]})
+
+    return sent.groupBy("i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, d double")
+
+
+def nearest(obs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """a, b, d, r: the k nearest other samples b of each sample a of ``queries`` (sample_id), ties in order of b.
+
+    Blocks of queries meet blocks of samples; a group gives each query's k best, and the best of these remain.
+    """
+    rows, blocks = _packed(obs)
+    kind = obs.schema["sample_id"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = rows.join(queries.select("sample_id").distinct(), "sample_id", "left_semi")
+    left = asked.select(F.lit(True).alias("asked"), "sample_id", "x", block.cast("long").alias("i"), every.alias("j"))
+    right = rows.select(F.lit(False).alias("asked"), "sample_id", "x", every.alias("i"), block.cast("long").alias("j"))
+
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_id")
+        p, q = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": pdf["sample_id"][:0], "b": pdf["sample_id"][:0], "d": np.zeros(0)})
+        d, a, b = _apart(_stack(p), _stack(q)), p["sample_id"].to_numpy(), q["sample_id"].to_numpy()
+        d[a[:, None] == b[None, :]] = np.nan
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        m, n = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+        has = ~np.isnan(d[m, n])
+        return pd.DataFrame({"a": a[m][has], "b": b[n][has], "d": d[m, n][has]})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(best, f"a {kind}, b {kind}, d double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)

@@ -234,6 +234,11 @@ def sample_distance_pairs(spark, sf_dir):
     return rounded(stats.distances(emb(spark, sf_dir).where("sample_id < 40")), "d")
 
 
+@query()
+def sample_distance_pairs_whole(spark, sf_dir):
+    return rounded(stats.distances(emb(spark, sf_dir)), "d")
+
+
 # Resampling
 
 
@@ -273,6 +278,11 @@ def smote_oversample(spark, sf_dir):
     return rounded(resample.smote(small, "c1", 30), "value")
 
 
+@query()
+def smote_oversample_whole(spark, sf_dir):
+    return rounded(resample.smote_to_majority(emb(spark, sf_dir)), "value")
+
+
 # Rankings
 
 
@@ -452,6 +462,12 @@ def signature_corr_expand(spark, sf_dir):
     return signatures.expand_correlates(unique, alike).select("sig_id", "new_id")
 
 
+@query()
+def signature_corr_expand_whole(spark, sf_dir):
+    unique = signatures.catalogue(signatures.prefixes(ranked_of(spark, sf_dir), 5)).select("sig_id", "genes").distinct()
+    return signatures.expand_correlates(unique, corr_groups(spark, sf_dir)).select("sig_id", "new_id")
+
+
 # Evaluation
 
 KFOLD = f"sp AS (SELECT sample_id, s.split, f.own = s.split AS is_test FROM (SELECT *, ntile(3) OVER (PARTITION BY label ORDER BY sample_id) - 1 AS own FROM {SAMPLES}) f, (SELECT CAST(unnest(range(3)) AS INTEGER) AS split) s)"
@@ -526,7 +542,12 @@ LOO = f"sp AS (SELECT a.sample_id, b.sample_id AS split, a.sample_id = b.sample_
 @query(f"WITH {OBS8.replace('FROM embeddings,', 'FROM (SELECT * FROM embeddings WHERE vec_id < 60),')}, {LOO}, {DIST}, {ALL_PRED} SELECT sample_id, y_true, y_pred FROM ap")
 def leave_one_out_centroid(spark, sf_dir):
     obs = emb(spark, sf_dir).where("feature_pos < 8 and sample_id < 60")
-    return evaluate.predict_all(evaluate.feature_distances(obs, resample.leave_one_out(resample.samples_of(obs)))).drop("split")
+    return evaluate.leave_one_out(obs)
+
+
+@query()
+def leave_one_out_centroid_whole(spark, sf_dir):
+    return evaluate.leave_one_out(emb(spark, sf_dir))
 
 
 @query(f"WITH {BASE}, {CANDIDATES}, {UNIQUE} SELECT DISTINCT sig_id, estimator, split FROM uniq, (SELECT unnest(['centroid', 'lda']) AS estimator), (SELECT CAST(unnest(range(3)) AS INTEGER) AS split)")
@@ -737,4 +758,4 @@ def knn_mutual_info(spark, sf_dir):
 
 @query()
 def nj_trees(spark, sf_dir):
-    return trees.feature_trees(emb(spark, sf_dir).where("sample_id < 40"))
+    return trees.feature_trees(emb(spark, sf_dir))
