@@ -5,6 +5,8 @@ further spans, which may overlap: credentials, national phone numbers, written-o
 other separators, and long internet addresses. Gradient-boosted trees, trained on a synthetic table that this module
 makes by rule (``examples``; half of it calibrates), score each by its format and context. A kind's threshold is the lowest
 score from which on the calibration half has a precision of PRECISION. Spans that overlap one chosen before are dropped.
+A run of figures is proposed as a whole and in parts (``_parts``), as several numbers may stand in it; of parts that overlap,
+those with higher scores go first.
 
 Extraction and scoring are columns of the row that holds the text; nothing is shuffled, and the trees are an expression.
 Patterns use possessive loops, so their time and stack stay bounded on long runs of one kind of character.
@@ -84,8 +86,10 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-#: What a wide match has to pass to be a candidate: a row of figures longer than any phone number isn't one.
-WIDE_CHECKS = {"phone": lambda v: (F.length(v) <= 24) & F.length(_digits(v)).between(7, 15)}
+#: What a wide match, or a part of it, has to pass to be a candidate: a row of figures longer than any phone number isn't one.
+WIDE_CHECKS = {"phone": lambda v: (F.length(v) <= LONGEST) & F.length(_digits(v)).between(7, 15)}
+#: Parts have as many groups of figures as written phone numbers have at most; a whole run may have more.
+GROUPS, LONGEST = 6, 24
 SPAN = "struct<kind:string,start:int,end:int,value:string,before:string>"
 
 
@@ -104,6 +108,43 @@ def _matches(text: Column, kind: str, pattern: str, maybe: str, trim: bool = Fal
     return F.when(text.rlike(maybe), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _before_base(s: Column) -> Column:
+    """The part of a span in front of the first base span in it; nothing if there is none."""
+    inside = F.filter("base_spans", lambda b: (b["start"] > s["start"]) & (b["start"] < s["end"]))
+    cut = F.coalesce(F.array_min(F.transform(inside, lambda b: b["start"])), s["start"])
+    value = F.rtrim(F.substring(s["value"], F.lit(1), cut - s["start"]), F.lit(" (.-"))
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), s["before"].alias("before"))
+
+
+def _parts(runs: Column) -> Column:
+    """The runs, and from each figure group on the spans to the next GROUPS ones' ends: what stands beside base spans or other numbers.
+
+    Groups are bound once as a lambda's variable, and none in a base span starts a part, so the work is in proportion to the groups.
+    """
+
+    def of(s: Column) -> Column:
+        def fits(g: Column, h: Column) -> Column:
+            return (h["end"] - g["start"]).between(7, LONGEST) & ((h["end"] - g["start"]) < F.length(s["value"]))
+
+        def span(g: Column, h: Column) -> Column:
+            start = g["start"] - F.when(F.substring(s["value"], g["start"], F.lit(1)) == "(", 1).otherwise(0)
+            value, front = F.substring(s["value"], start + 1, h["end"] - start), F.substring(F.concat(s["before"], F.substring(s["value"], F.lit(1), start)), -CONTEXT, CONTEXT)
+            before = F.when(start >= CONTEXT, F.substring(s["value"], start - CONTEXT + 1, F.lit(CONTEXT))).otherwise(front)
+            return F.struct(s["kind"].alias("kind"), (s["start"] + start).alias("start"), (s["start"] + h["end"]).alias("end"), value.alias("value"), before.alias("before"))
+
+        def starting(groups: Column):
+            def at(g: Column, i: Column) -> Column:
+                place = F.struct((s["start"] + g["start"]).alias("start"), (s["start"] + g["end"]).alias("end"))
+                return F.when(_covers(F.col("base_spans"), place), F.array().cast(f"array<{SPAN}>")).otherwise(F.transform(F.filter(F.slice(groups, i + 1, F.lit(GROUPS)), lambda h: fits(g, h)), lambda h: span(g, h)))
+
+            return at
+
+        groups = F.array(_matches(s["value"], "phone", "[0-9]++", "[0-9]"))
+        return F.concat(F.array(s), F.flatten(F.transform(groups, lambda x: F.flatten(F.transform(x, starting(x))))))
+
+    return F.flatten(F.transform(runs, of))
+
+
 def features(kind: Column, value: Column, before: Column) -> list[Column]:
     """The numbers that the trees see, in the order of FEATURES; ``before`` is the text in front of the value."""
     n, d = F.length(value).cast("double"), _digits(value)
@@ -203,23 +244,36 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind, pattern in BASE.items():
         df = df.withColumn(f"_{kind}", F.filter(_matches(F.col("_t"), kind, pattern, MAYBE[kind]), _passes(kind)))
     df = df.withColumn("base_spans", F.concat(*[F.col(f"_{k}") for k in BASE]))
+    # a run after a plus that fails as it goes on into a base span is checked again up to that span
+    df = df.withColumn("_plus", F.filter(F.transform(F.filter(_matches(F.col("_t"), "phone", BASE["phone"], MAYBE["phone"]), lambda s: ~_passes("phone")(s)), _before_base), lambda s: _passes("phone")(s) & ~_covers(F.col("base_spans"), s)))
     for kind, pattern in WIDE.items():
-        df = df.withColumn(f"_w{kind}", F.filter(_matches(F.col("_t"), kind, pattern, MAYBE_WIDE[kind], kind == "phone"), _candidate(kind)))
+        found = _matches(F.col("_t"), kind, pattern, MAYBE_WIDE[kind], kind == "phone")
+        df = df.withColumn(f"_w{kind}", F.filter(_parts(found) if kind == "phone" else found, _candidate(kind)))
     df = df.withColumn("_wide", F.concat(*[F.col(f"_w{k}") for k in WIDE]))
 
     def numbers(s: Column) -> Column:
         return F.struct(s.alias("s"), F.array(*features(s["kind"], s["value"], s["before"])).alias("f"))
 
-    chosen = lambda c: _expression(model, [c["f"][k] for k in range(len(FEATURES))]) >= reduce(lambda a, k: F.when(c["s"]["kind"] == k, F.lit(cuts[k])).otherwise(a), cuts, F.lit(float("inf")))
-    df = df.withColumn("_f", F.transform("_wide", numbers)).withColumn("_ok", F.transform(F.filter("_f", chosen), lambda c: c["s"]))
-    # spans of one generator don't overlap; one that overlaps a chosen one of an earlier generator goes
+    margin = lambda c: _expression(model, [c["f"][k] for k in range(len(FEATURES))])
+    chosen = lambda c: c["m"] >= reduce(lambda a, k: F.when(c["s"]["kind"] == k, F.lit(cuts[k])).otherwise(a), cuts, F.lit(float("inf")))
+    df = df.withColumn("_f", F.transform("_wide", numbers)).withColumn("_good", F.filter(F.transform("_f", lambda c: F.struct(c["s"].alias("s"), margin(c).alias("m"))), chosen))
+    # parts of a run overlap: the best first, then the longest, and none that an earlier generator's overlaps
+    first = [k for k in WIDE if k != "phone"][: list(WIDE).index("phone")]
+    taken = F.transform(F.filter("_good", lambda c: c["s"]["kind"].isin(first)), lambda c: c["s"])
+    phones = F.filter("_good", lambda c: c["s"]["kind"] == "phone")
+    by_score = F.transform(F.sort_array(F.transform(phones, lambda c: F.struct((-c["m"]).alias("m"), (c["s"]["start"] - c["s"]["end"]).alias("n"), c["s"].alias("s")))), lambda x: x["s"])
+    best = F.filter(F.aggregate(by_score, taken, lambda out, s: F.when(_covers(out, s), out).otherwise(F.concat(out, F.array(s)))), _of_kind("phone"))
+    others = F.transform(F.filter("_good", lambda c: c["s"]["kind"] != "phone"), lambda c: c["s"])
+    df = df.withColumn("_ok", F.when(F.size("_good") > 0, F.concat(others, best)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    # of two generators' spans that overlap, the earlier one's stays
     earlier = lambda s: F.exists("_ok", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (rank(o) < rank(s)))
     rank = lambda s: F.array_position(F.array(*map(F.lit, WIDE)), s["kind"])
-    df = df.withColumn("_added", F.when(F.size("_ok") > 0, F.filter("_ok", lambda s: ~earlier(s))).otherwise(F.col("_ok")))
+    df = df.withColumn("_added", F.when(F.size("_ok") > 0, F.filter("_ok", lambda s: ~earlier(s) & ~_covers(F.col("_plus"), s))).otherwise(F.col("_ok")))
+    df = df.withColumn("_added", F.when(F.size("_plus") > 0, F.concat("_plus", "_added")).otherwise(F.col("_added")))
     place = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("p"), s["start"].alias("start"), s.alias("s"))
     every = F.transform(F.sort_array(F.transform(F.concat("base_spans", "_added"), place)), lambda x: x["s"])
     df = df.withColumn("spans", F.when(F.size("_added") > 0, every).otherwise(F.col("base_spans")))
-    return df.drop("_t", "_wide", "_f", "_ok", "_added", *[f"_{k}" for k in BASE], *[f"_w{k}" for k in WIDE])
+    return df.drop("_t", "_wide", "_f", "_good", "_plus", "_ok", "_added", *[f"_{k}" for k in BASE], *[f"_w{k}" for k in WIDE])
 
 
 def _joined(spans: str) -> Column:

@@ -87,3 +87,21 @@ def test_redaction(spark):
 def test_the_main_path_has_no_python(spark, small):
     plan = pii.digests(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_a_number_beside_others_is_found(spark):
+    texts = [
+        "Des +1 (826) 555-4081 190.137.223.204 du", "épa un. +1 (843) 555-7672 170.106.47.218 Et", "call (030) 555-0199 (040) 555-0188 today", "tel: 190.137.223.204 (030) 555-0199 and on",
+        "call (030) 555-0199 4111 1111 1111 1111 now", "isbn 978-3-16-148410-0 and 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "x " + "1 " * 3000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(k, texts[r["doc_id"]][int(a) : int(b)]) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.digests(docs).collect()}
+    assert ("phone", "+1 (826) 555-4081") in found[0] and ("ip", "190.137.223.204") in found[0]
+    assert ("phone", "+1 (843) 555-7672") in found[1]
+    assert [v for k, v in found[2] if k == "phone"] == ["(030) 555-0199", "(040) 555-0188"]
+    assert ("phone", "(030) 555-0199") in found[3] and ("phone", "(030) 555-0199") in found[4]
+    assert found[5] == [] and found[6] == []
+    for spans in found.values():
+        assert len(spans) == len(set(spans))
+    done = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert "555" not in "".join(done[:5])
