@@ -8,8 +8,8 @@ it a pair that the library itself keeps as it is. count[i] = count[i - len(last)
 count a token for each of their bytes. The library encodes each distinct segment once; if its count for the whole
 segment differs from the program's, every prefix of that segment is encoded by the library instead.
 
-``count_tokens`` needs the counts where segments end only: there the program's state is a sum of the segments' counts,
-each remembered or asked of the library once. ``prefix_table`` has the counts at every code point.
+``count_tokens`` reads the count at the last prefix, ``prefix_table`` has the counts at every code point; both run the
+program over each distinct segment that a worker doesn't remember, in sorted order, so shared beginnings run once.
 
 With the counts stored, ``truncate_at`` and ``fits`` answer budget questions by looking them up and never encode again.
 
@@ -19,8 +19,8 @@ Defined results: null and empty texts have no tokens; an empty prefix has none;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,7 @@ from .common import map_texts
 
 MARK = "▁"
 SEGMENT = re.compile(" *[^ ]+| +")
-#: Segments that a worker remembers in each of two generations; a bound on memory that doesn't change results.
+#: Segments that a worker remembers in each of two generations, a batch's own beside; a bound on memory that doesn't change results.
 REMEMBERED = 400_000
 
 
@@ -49,12 +49,13 @@ class PrefixCounter:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         lib, n = self.library, self.library.get_piece_size()
         self.pieces = {lib.id_to_piece(i) for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))}
-        self.ends = {p[k:] for p in self.pieces for k in range(len(p))}
+        #: every ending of a piece, and the sizes of the pieces that it ends with, the longest first
+        self.ends: dict[str, tuple[int, ...]] = {}
+        for e in sorted({p[k:] for p in self.pieces for k in range(len(p))}, key=len):
+            self.ends[e] = (len(e),) * (e in self.pieces) + self.ends.get(e[1:], ())
         assert not any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) and p.strip(MARK) for p in self.pieces), "segments aren't independent in this model"
         self.known: dict[str, bytes | list[int]] = {}
         self.older: dict[str, bytes | list[int]] = {}
-        self.counted: dict[str, int] = {}
-        self.counted_older: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def _stays(self, a: str, b: str) -> bool:
@@ -73,74 +74,79 @@ class PrefixCounter:
             self.pairs[a, b] = got
         return got
 
-    def _program(self, s: str) -> list[int]:
-        """Counts at the prefixes 1..len(s) of a segment that begins with a mark."""
-        pieces, ends, pairs = self.pieces, self.ends, self.pairs
-        counts, last = [0], [""]
-        for i in range(1, len(s) + 1):
-            found, j = [], i - 1
-            while j >= 0 and (t := s[j:i]) in ends:
-                if t in pieces:
-                    found.append((j, t))
-                j -= 1
-            for j, t in reversed(found):
-                if not (a := last[j]) or ((ok := pairs.get((a, t))) is None and self._stays(a, t)) or ok:
-                    counts.append(counts[j] + 1)
-                    last.append(t)
+    def _programs(self, segments: list[str]) -> Iterator[list[int]]:
+        """For each segment, in which marks begin, the counts at its prefixes 1..len; the program goes on from the prefix shared with the one before."""
+        ends, pairs = self.ends, self.pairs
+        counts, last, before = [0], [""], ""
+        for s in segments:
+            k = 0
+            for x, y in zip(before, s):  # noqa: B905
+                if x != y:
                     break
-            else:
-                counts.append(counts[-1] + len(s[i - 1].encode()))
-                last.append("")
-        return counts[1:]
-
-    def segment(self, s: str) -> bytes | list[int]:
-        """Counts at the prefixes of a segment, which begins with a space."""
-        got = self.known.get(s)
-        if got is None and (got := self.older.get(s)) is None:
-            counts = self._program(s.replace(" ", MARK))
-            if counts[-1] != len(self.library.encode(s[1:])) and s != " ":
-                counts = [1 if i == 1 else len(self.library.encode(s[1:i])) for i in range(1, len(s) + 1)]
-            got = bytes(counts) if counts[-1] < 256 else counts
+                k += 1
+            del counts[k + 1 :], last[k + 1 :]
+            for i in range(k + 1, len(s) + 1):
+                sizes, j = (), i - 1
+                while j >= 0 and (got := ends.get(s[j:i])) is not None:
+                    sizes, j = got, j - 1
+                for n in sizes:
+                    t = s[i - n : i]
+                    if not (a := last[i - n]) or ((ok := pairs.get((a, t))) is None and self._stays(a, t)) or ok:
+                        counts.append(counts[i - n] + 1)
+                        last.append(t)
+                        break
+                else:
+                    counts.append(counts[-1] + len(s[i - 1].encode()))
+                    last.append("")
+            before = s
+            yield counts[1:]
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Remember the counts at the prefixes of all segments of these texts: the program's, where the library agrees at the end.
+
+        New segments run through the program in sorted order, and the library encodes each once, as a check.
+        """
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
-        self.known[s] = got
-        return got
+        known, older = self.known, self.older
+        new: set[str] = set()
+        for text in texts:
+            if text:
+                new.update(SEGMENT.findall(" " + text.replace(MARK, " ")))
+        new -= known.keys()
+        known.update((s, older[s]) for s in new if s in older)
+        ask = sorted(new - known.keys())
+        checks = self.library.encode([s[1:] for s in ask], num_threads=1)
+        for s, ids, counts in zip(ask, checks, self._programs([s.replace(" ", MARK) for s in ask]), strict=True):
+            if counts[-1] != len(ids) and s != " ":
+                counts = [1 if i == 1 else len(self.library.encode(s[1:i])) for i in range(1, len(s) + 1)]
+            try:
+                known[s] = bytes(counts)
+            except ValueError:  # over 255
+                known[s] = counts
+
+    def segments(self, text: str) -> list[bytes | list[int]]:
+        """Counts at the prefixes of each segment of a text, in order; its segments must be known."""
+        known = self.known
+        return [known[s] for s in SEGMENT.findall(" " + text.replace(MARK, " "))]
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Counts at the prefixes of 0..len(text) code points."""
         if not text:
             return np.zeros(1, np.int32)
+        self.learn([text])
         parts, base = [], 0
-        for s in SEGMENT.findall(" " + text.replace(MARK, " ")):
-            counts = self.segment(s)
+        for counts in self.segments(text):
             parts.append((np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else np.array(counts)).astype(np.int32) + base)
             base += int(counts[-1])
         out = np.concatenate(parts)
         out[0] = 0
         return out
 
-    def ends_of(self, text: str | None) -> list[int]:
-        """Counts at the prefixes that end the segments of a text, in order: the program's states between segments.
-
-        Prefixes inside segments aren't worked out here; a segment's own count is remembered, or asked of the library.
-        """
-        if not text:
-            return []
-        known, older = self.counted, self.counted_older
-        segments = SEGMENT.findall(" " + text.replace(MARK, " "))
-        new = [s for s in dict.fromkeys(segments) if s not in known]
-        if new:
-            ask = [s for s in new if s not in older]
-            known.update((s, older[s]) for s in new if s in older)
-            known.update((s, len(ids) or 1) for s, ids in zip(ask, self.library.encode([s[1:] for s in ask], num_threads=1), strict=True))
-        out = list(accumulate([known[s] for s in segments]))
-        if len(known) >= REMEMBERED:
-            self.counted_older, self.counted = known, {}
-        return out
-
-    def total(self, text: str | None) -> int:
-        """The count at the last prefix."""
-        return (self.ends_of(text) or [0])[-1]
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """The count at the last prefix of each text: the program's last state of every segment, added up."""
+        self.learn(texts)
+        return [sum([counts[-1] for counts in self.segments(t)]) if t else 0 for t in texts]
 
 
 @cache
@@ -173,7 +179,6 @@ def count_tokens(docs: DataFrame, limit: int = 4096, model: str | None = None, k
     model = model or default_model()
 
     def run(texts: list) -> list:
-        total = counter(model).total
-        return [[len((t or "").encode()) for t in texts], [total(t) for t in texts]]
+        return [[len((t or "").encode()) for t in texts], counter(model).totals(texts)]
 
     return map_texts(docs, keep, text_col, run, "n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

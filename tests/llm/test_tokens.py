@@ -29,7 +29,7 @@ def test_odd_documents(spark):
 def test_odd_strings_at_every_prefix():
     counter = tokens.counter(tokens.default_model())
     for s in STRINGS:
-        assert counter.total(s) == len(LIBRARY.encode(s)), s
+        assert counter.totals([s]) == [len(LIBRARY.encode(s))], s
         assert list(counter.prefix_counts(s)) == [len(LIBRARY.encode(s[:k])) for k in range(len(s) + 1)], s
 
 
