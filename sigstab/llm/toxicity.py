@@ -1,12 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-1. The lexicon is learned, not given: of a bounded sample of labelled training rows (SAMPLE of them at most, those with
-   the smallest hash of their id), words and word beginnings that are far more frequent in toxic texts than in others,
+1. The lexicon is learned, not given: of the fitting part of a bounded sample of labelled training rows (SAMPLE of them
+   at most, those with the smallest hash of their id), words and word beginnings that are far more frequent in toxic texts than in others,
    ranked by the likelihood ratio of the two rates.
 2. One pass over every whole text makes the dense features: weighted lexicon densities, hits near words for the second
    person, capitals, punctuation, symbols, and words obfuscated by figures or symbols.
 3. Boosted trees (MLlib) learn from the sample's fitting part, and an isotonic regression calibrates their probability
-   on the sample's other part.
+   on the sample's other part (remainder CALIBRATION), of which neither the lexicon nor the trees have seen a label.
 
 Only rows with crc32(doc_id as text) mod 5 <> 0 are learned from. The labelled sample is bounded by SAMPLE, so it is
 broadcast to the texts, and no text is shuffled; features are checkpointed, so texts are read twice.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_bucket, map_texts
 
 SAMPLE, LEXICON, LEAST, RATIO = 20_000, 400, 3, 5
-FOLDS, TREES, DEPTH, SEED, NEAR = 5, 20, 3, 5, 5
+FOLDS, CALIBRATION, TREES, DEPTH, SEED, NEAR = 5, 1, 20, 3, 5, 5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Fixed value: words for the person spoken to, in the languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -142,10 +142,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     held_out = F.coalesce(id_bucket(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     sample = checkpointed(labelled(labels, label, id_bucket(F.col("doc_id"), FOLDS) != 0, sample_rows))
-    toxic, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
-    x = checkpointed(features(docs.select("doc_id", "text"), learn_lexicon(docs.select("doc_id", "text"), sample, toxic, n - toxic)))
+    fitting = sample.where(id_bucket(F.col("doc_id"), FOLDS) != CALIBRATION)
+    share = lambda df: df.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    (toxic, n), (fit_toxic, fit_n) = share(sample), share(fitting)
+    x = checkpointed(features(docs.select("doc_id", "text"), learn_lexicon(docs.select("doc_id", "text"), fitting, fit_toxic, fit_n - fit_toxic)))
     known = checkpointed(x.where("doc_id is not null").join(F.broadcast(sample), "doc_id").withColumn("fold", id_bucket(F.col("doc_id"), FOLDS)).coalesce(4))
-    fit, held = known.where("fold <> 1"), known.where("fold = 1")
+    fit, held = known.where(F.col("fold") != CALIBRATION), known.where(F.col("fold") == CALIBRATION)
     classes = lambda df: df.agg(F.count_distinct("y")).first()[0]
     if classes(fit) < 2:
         scored = x.withColumn("score", F.lit(float(toxic / n) if n else 0.0))
