@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from sigstab.llm import pii
 
@@ -105,3 +108,38 @@ def test_a_number_beside_others_is_found(spark):
         assert len(spans) == len(set(spans))
     done = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
     assert "555" not in "".join(done[:5])
+
+
+def test_many_spans_in_one_text(spark):
+    n = 12_000
+    text = " ".join(f"a{k}@b.com c{k} [at] d.org" for k in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.digests(docs).first()
+    assert row["n_email"] == n and row["spans"].count(",") == 2 * n - 1
+    assert pii.redact(docs).first()["text"] == " ".join(["<EMAIL> <EMAIL>"] * n)
+    assert time.time() - began < 90
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    texts = ["x user1234.4111111111111111@mail.com y", "a@b.c" + " long" * 3000 + " d@e.f end", "😀 1.2.3.4 😀"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["x <EMAIL> y", "<EMAIL>" + " long" * 3000 + " <EMAIL> end", "😀 <IP> 😀"]
+
+
+def test_halves_of_the_examples_share_no_template(spark):
+    assert all(len(set(w)) == len(w) and len(w) % 2 == 0 for w in pii.WORDS.values())
+    ex = pii.examples(spark).collect()
+    shape = lambda r: (r["kind"], r["label"], re.sub("[0-9]", "9", re.sub("[a-f0-9]{12,}", "h", r["before"] + "|" + r["value"] + "|" + r["after"])))
+    one, two = ({shape(r) for r in ex if r["half"] == h} for h in (0, 1))
+    assert one and two and not one & two
+    for kind in pii.WIDE:
+        assert {r["label"] for r in ex if r["kind"] == kind and r["half"] == 0} == {r["label"] for r in ex if r["kind"] == kind and r["half"] == 1} == {0.0, 1.0}
+
+
+def test_plans_stay_small_behind_filters(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spans = pii.with_spans(docs).select("doc_id", F.explode("spans").alias("s")).where("s.kind <> 'ip'")
+    assert spans.count() > 0
+    assert pii.digests(pii.redact(docs)).where("n_email > 0").count() == 0
