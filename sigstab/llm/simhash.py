@@ -1,12 +1,14 @@
 """SimHash near-duplicates by a binary-trie self-join, and connected components of the links.
 
 Fingerprints are compared as paths in a binary trie. Pairs of trie nodes are walked together from the root: going to
-children that differ spends one bit of the error budget, and a pair is pruned once the budget is exceeded. The first
-``top`` levels are walked on the cluster: every pair of nodes of that depth within the budget becomes a group, and each
-distinct fingerprint goes to the pairs that its node takes part in. Below, each group walks its own pair of subtries
-in NumPy, in bounded chunks. A group returns a spanning forest of its links, at most one row per fingerprint, so large
-families of near copies never become lists of pairs. ``top`` follows the number of distinct fingerprints, so a group
-holds about NODE of them per side at any size; exact copies share a fingerprint and count once.
+children that differ spends one bit of the error budget, and a pair is pruned once the budget is exceeded. Of two
+fingerprints that differ in at most 3 bits, one of the four quarters is equal, so the trie is walked in four rotations of
+the bits, in each of which the first quarter spends nothing: a distinct fingerprint goes to four groups at any size. A
+group is a node of a depth at which groups hold about NODE fingerprints, and walks its subtrie in NumPy, in bounded
+chunks. A node with more than HOT times NODE is split deeper: below the first quarter, every pair of its nodes within
+the budget becomes a group of its own, with the fingerprints of both. A group returns a spanning forest of its links, at
+most one row per fingerprint, so large families of near copies never become lists of pairs; exact copies share a
+fingerprint and count once.
 
 Defined results: null and blank texts have the fingerprint zero, and link like any other; component_id is the smallest
 id that is reachable, nulls ignored (null if all ids of a component are null); repeated rows stay repeated.
@@ -29,6 +31,8 @@ from .common import checkpointed, map_texts, text_of
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Distinct fingerprints below a node of the depth where groups begin, about.
 NODE = 32_768
+#: A node of more than HOT times NODE fingerprints is split, by up to SPLIT further bits.
+HOT, SPLIT, QUARTER = 8, 12, 16
 #: Node pairs handled at once, and the largest product of sizes that is compared directly.
 CHUNK, DIRECT = 100_000, 32
 
@@ -64,9 +68,11 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def trie_forest(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET) -> np.ndarray:
+def trie_forest(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET, shared: int = 0) -> np.ndarray:
     """Walk the subtries of the sorted, distinct a and b (None: a with itself) from ``depth`` on.
 
+    Above the depth ``shared``, a node meets only itself: links that differ there are left to another rotation.
+
     Returns the smallest position that each position of a, then b, is linked with, directly or by others.
     """
     own = b is None
@@ -118,7 +124,8 @@ def trie_forest(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, bud
         one = np.ones_like(am)
         twin = (f[0] == f[2]) & (f[1] == f[3]) if own else np.zeros(len(am), bool)
         cross = np.stack([am, f[1], f[2], bm, f[4] + one])[:, ~twin]  # of a node with itself, only one of the two crossings
-        g = np.concatenate([np.stack([f[0], am, f[2], bm, f[4]]), np.stack([am, f[1], bm, f[3], f[4]]), np.stack([f[0], am, bm, f[3], f[4] + one]), cross], axis=1)
+        alike = [np.stack([f[0], am, f[2], bm, f[4]]), np.stack([am, f[1], bm, f[3], f[4]])]
+        g = np.concatenate(alike if d < shared else [*alike, np.stack([f[0], am, bm, f[3], f[4] + one]), cross], axis=1)
         g = g[:, (g[0] < g[1]) & (g[2] < g[3]) & (g[4] <= budget)]
         if g.shape[1]:
             stack.append((d + 1, g))
@@ -126,27 +133,37 @@ def trie_forest(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, bud
 
 
 def links(fps: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
-    """a, b: links between the distinct fingerprints in column fp, a spanning forest for every pair of top nodes."""
-    n = max(1, fps.count())
-    top = min(24, max(6, math.ceil(math.log2(n / node))))
-    masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(top), r)]
-    p = F.shiftrightunsigned("fp", BITS - top)
+    """a, b: links between the distinct fingerprints in column fp, a spanning forest for every group."""
+    if budget >= BITS // QUARTER:
+        raise ValueError("quarters of the bits cover a budget of up to 3")
+    top = min(QUARTER, max(0, math.ceil(math.log2(max(1, fps.count()) / node))))
+    turned = [F.shiftleft("fp", QUARTER * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - QUARTER * k)) if k else F.col("fp") for k in range(BITS // QUARTER)]
+    place = F.shiftrightunsigned("v", BITS - top) if top else F.lit(0).cast("long")
+    rows = fps.select(F.posexplode(F.array(*turned)).alias("turn", "v")).withColumn("place", place)
+    hot = rows.groupBy("turn", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT * node)
+    hot = hot.select("turn", "place", F.least(F.lit(SPLIT), F.ceil(F.log2(F.col("n") / node))).cast("int").alias("more"))
+    masks = [[sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(d), r)] for d in range(1, SPLIT + 1)]
+    deep = F.expr(f"shiftrightunsigned(v, {BITS - QUARTER} - more)")
+    each = F.when(F.col("more").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.element_at(F.lit(masks).cast("array<array<long>>"), F.col("more")))
     sides = (
-        fps.select("fp", p.alias("p"), F.explode(F.lit(masks).cast("array<long>")).alias("m"))
+        rows.join(hot, ["turn", "place"], "left")
+        .select("turn", "v", F.coalesce(F.col("more") + QUARTER, F.lit(top)).alias("depth"), F.coalesce(deep, F.col("place")).alias("p"), F.explode(each).alias("m"))
         .withColumn("q", F.col("p").bitwiseXOR(F.col("m")))
-        .select("fp", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("right"))
+        .select("turn", "depth", "v", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("right"))
     )
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = map(int, key)
-        values, right = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["right"].to_numpy(bool)
+        turn, depth, lo, hi = map(int, key)
+        values, right = pdf["v"].to_numpy(np.int64).view(np.uint64), pdf["right"].to_numpy(bool)
         a, b = np.sort(values[~right]), None if lo == hi else np.sort(values[right])
-        label = trie_forest(a, b, top, (lo ^ hi).bit_count(), budget)
-        both = (a if b is None else np.concatenate([a, b])).view(np.int64)
+        label = trie_forest(a, b, depth, (lo ^ hi).bit_count(), budget, QUARTER)
+        both = a if b is None else np.concatenate([a, b])
+        back = QUARTER * turn
+        both = ((both >> np.uint64(back)) | (both << np.uint64(BITS - back)) if back else both).view(np.int64)
         k = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": both[k], "b": both[label[k]]})
 
-    return sides.groupBy("lo", "hi").applyInPandas(walk, "a long, b long")
+    return sides.groupBy("turn", "depth", "lo", "hi").applyInPandas(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -53,20 +53,10 @@ def test_odd_documents(spark):
     assert simhash.near_duplicates(odd.empty(spark)).count() == 0
 
 
-def test_trie_links_against_all_pairs(spark):
-    """Families of prints with 1 to 6 changed bits, and top nodes so small that links cross them."""
-    rng = random.Random(3)
-    prints = set()
-    for _ in range(60):
-        base = rng.getrandbits(64)
-        prints.add(base)
-        for _ in range(rng.randrange(1, 12)):
-            base ^= sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 7)))
-            prints.add(base)
-    prints = sorted(prints)
+def same_groups(spark, prints, node):
+    """Links join the prints into the very groups that comparing all pairs gives."""
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), node=16).collect()
-    assert all(((e["a"] ^ e["b"]) & (2**64 - 1)).bit_count() or e["a"] == e["b"] for e in edges)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), node=node).collect()
     label = {p: p for p in prints}
 
     def find(k):
@@ -76,12 +66,36 @@ def test_trie_links_against_all_pairs(spark):
 
     for e in edges:
         label[find(e["a"] % 2**64)] = find(e["b"] % 2**64)
-    true = brute_components(list(enumerate(prints)))
     groups = {}
-    for (_, _, c), p in zip(true, prints, strict=True):
+    for (_, _, c), p in zip(brute_components(list(enumerate(prints))), prints, strict=True):
         groups.setdefault(c, set()).add(find(p))
     assert all(len(g) == 1 for g in groups.values())
     assert len({find(p) for p in prints}) == len(groups)
+    return edges
+
+
+def test_trie_links_against_all_pairs(spark):
+    """Families of prints with 1 to 6 changed bits, and top nodes so small that links cross them."""
+    rng = random.Random(3)
+    prints = set()
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        prints.add(base)
+        for _ in range(rng.randrange(1, 12)):
+            base ^= sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 7)))
+            prints.add(base)
+    same_groups(spark, sorted(prints), 16)
+    same_groups(spark, sorted(prints), 1_000)
+
+
+def test_a_hot_prefix_is_split(spark):
+    """Most prints share the first bits, so their node is split, and links cross the parts."""
+    rng = random.Random(7)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(500):
+        base = 0x1234 << 48 | rng.getrandbits(48)
+        prints |= {base, base ^ sum(1 << k for k in rng.sample(range(48), rng.randrange(1, 5)))}
+    same_groups(spark, sorted(prints), 32)
 
 
 def test_components_of_a_long_chain(spark):
