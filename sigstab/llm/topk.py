@@ -6,8 +6,10 @@ the block's largest value of the term (its smallest, for a negative weight). Eac
 their bounds, in rounds of 1, 4, 16, ... blocks; after a round its kth score is known, and it stops as soon as the next
 bound is below that. Bounds equal to the kth score are still scored, because ties go to smaller ids. Nothing is estimated.
 
-What is collected and sent along is the table of bounds, BLOCKS rows at most. Queries of a block are scored QUERIES at a
-time, with a matrix product.
+What is collected and sent along is the table of bounds, BLOCKS rows at most (8 MB for vectors of 64 components). Blocks
+keep their size up to BLOCK times BLOCKS vectors, and grow in proportion beyond that. Queries of a block are scored about
+QUERIES at a time with matrix products of TILE vectors, so scores take 64 MB at any size, and a block is sent only to the
+chunks of queries that ask for it.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids;
 shorter vectors count as filled up with zeros; a query's own row, and any with the same id, isn't its candidate; of
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed
 
-SCALE, K, BLOCK, BLOCKS, QUERIES = 64, 20, 2048, 1024, 4096
+SCALE, K, BLOCK, BLOCKS, QUERIES, TILE = 64, 20, 2048, 8192, 4096, 2048
 
 
 def whole_numbers(embedding: Column, scale: int = SCALE) -> Column:
@@ -54,18 +56,26 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def block_top(queries: np.ndarray, ids: np.ndarray, least: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, score, vec_id) of each query's k best in a block, if not below ``least``; ``vec_ids`` must rise."""
-    s = _products(queries, vectors)
-    own = ids[:, None] == vec_ids[None, :]
-    top = np.lexsort((np.broadcast_to(np.arange(s.shape[1]), s.shape), -s, own), axis=1)[:, :k] if s.shape[1] <= k or np.abs(s).max(initial=0) > 2**51 // s.shape[1] else None
-    if top is None:
-        key = np.where(own, -np.iinfo(np.int64).max, s * s.shape[1] - np.arange(s.shape[1]))
-        top = np.argpartition(-key, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-    rows = np.repeat(np.arange(len(ids)), top.shape[1])
-    cols = top.ravel()
-    fine = ~own[rows, cols] & (s[rows, cols] >= least[rows])
-    rows, cols = rows[fine], cols[fine]
-    return ids[rows], s[rows, cols], vec_ids[cols]
+    """(query, score, vec_id) of each query's k best in a block, if not below ``least``; ``vec_ids`` must rise.
+
+    Scores are made TILE vectors at a time, and only the k best so far are kept.
+    """
+    none = np.iinfo(np.int64).min
+    best, place = np.full((len(ids), 0), none), np.zeros((len(ids), 0), np.int64)
+    for at in range(0, len(vec_ids), TILE):
+        s = _products(queries, vectors[at : at + TILE])
+        s[ids[:, None] == vec_ids[None, at : at + TILE]] = none
+        cols = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+        if s.shape[1] > k:  # all that reach the kth score of the tile are in reach; of equal ones the first count
+            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            above, level = s > kth[:, None], s == kth[:, None]
+            take = above | (level & (np.cumsum(level, axis=1) <= (k - above.sum(axis=1))[:, None]))
+            cols = np.nonzero(take)[1].reshape(len(ids), k)
+        best, place = np.concatenate([best, np.take_along_axis(s, cols, axis=1)], axis=1), np.concatenate([place, cols + at], axis=1)
+        order = np.lexsort((place, -np.maximum(best, none + 1)), axis=1)[:, :k]
+        best, place = np.take_along_axis(best, order, axis=1), np.take_along_axis(place, order, axis=1)
+    rows, cols = np.nonzero((best > none) & (best >= least[:, None]))
+    return ids[rows], best[rows, cols], vec_ids[place[rows, cols]]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -103,8 +113,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                 bound = _products(np.maximum(m, 0), hi) + _products(np.minimum(m, 0), lo)
                 order = np.argsort(-bound, axis=1, kind="stable")[:, first : first + many]
                 rows, cols = np.nonzero(np.take_along_axis(bound, order, axis=1) >= kth[:, None])
-                at = names[order[rows, cols]]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array([q[i] for i in rows], pa.list_(pa.int64())), pa.array(kth[rows], pa.int64())], names=["block", "query_id", "q", "kth"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[rows, cols]], pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(kth[rows], pa.int64())], names=["block", "query_id", "kth"])
 
         return run
 
@@ -118,10 +127,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first, many = 0, 1
     while first < len(names):
-        asked = state.select("query_id", "q", F.when(F.size("tops") >= k, F.col("tops")[k - 1]["score"]).alias("kth")).mapInArrow(next_blocks(first, many), "block int, query_id long, q array<long>, kth long")
-        asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-        in_chunks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        scored = asked.groupBy("block", "chunk").cogroup(in_chunks.groupBy("block", "chunk")).applyInPandas(score, "query_id long, score long, vec_id long")
+        kth = F.when(F.size("tops") >= k, F.col("tops")[k - 1]["score"]).alias("kth")
+        asked = state.select("query_id", "q", kth).mapInArrow(next_blocks(first, many), "block int, query_id long, kth long")
+        asked = checkpointed(asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")))
+        in_chunks = blocks.join(asked.select(F.col("block"), F.col("chunk").alias("to")).distinct(), "block")  # a block goes where it is asked for
+        with_query = asked.join(state.select("query_id", "q"), "query_id")
+        scored = with_query.groupBy("block", "chunk").cogroup(in_chunks.groupBy("block", "to")).applyInPandas(score, "query_id long, score long, vec_id long")
         every = scored.unionByName(state.select("query_id", F.explode("tops").alias("t")).select("query_id", "t.score", "t.vec_id"))
         tops = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "vec_id"))).alias("t"))
         tops = tops.select("query_id", F.transform("t", lambda x: F.struct(x["score"].alias("score"), x["vec_id"].alias("vec_id"))).alias("tops"))
