@@ -19,8 +19,27 @@ def two_sided_normal(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+#: Most degrees of freedom that are summed as a series; above, the tail comes from the normal one.
+SERIES = 2000
+
+
 def two_sided_t(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) of Student's t with a whole number of degrees of freedom, by the finite series of Abramowitz and Stegun 26.7.3-4."""
+    """P(|T| >= |t|) of Student's t with a whole number of degrees of freedom.
+
+    Up to SERIES degrees by the finite series of Abramowitz and Stegun 26.7.3-4, above by Hill's normal deviate
+    (algorithm 395), whose error is far below that of the normal tail there; so the terms are bounded at any df.
+    """
+    return F.when(df > SERIES, _hill(t, df.cast("double"))).otherwise(_series(t, F.least(df, F.lit(SERIES))))
+
+
+def _hill(t: Column, df: Column) -> Column:
+    a = df - 0.5
+    b = 48 * a * a
+    y = a * F.log1p(t * t / df)
+    return two_sided_normal(((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b * F.sqrt(y) + F.sqrt(y))
+
+
+def _series(t: Column, df: Column) -> Column:
     angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
     cos2 = F.pow(F.cos(angle), 2)
     odd = df % 2 == 1

@@ -6,13 +6,13 @@ Rankers return (feature, score), higher better; results depend on the optimiser,
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier, DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from ..functions.columns import hash_order
 from . import evaluate, resample, scaling
 
 TREES, SEED = 83, 0
+#: Fits that the driver has running side by side.
+AT_ONCE = 4
 
 
 def pack(obs: DataFrame, names: list[str], scaled: bool = True) -> DataFrame:
@@ -41,7 +43,7 @@ def estimator(name: str, c: float = 1.0, rows: int = 1, seed: int = SEED):
     return {
         "lasso": lambda: LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False),
         "ridge": lambda: LogisticRegression(elasticNetParam=0.0, regParam=penalty, standardization=False),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(regParam=penalty, standardization=False)),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(regParam=penalty, standardization=False), parallelism=AT_ONCE),
         "tree": lambda: DecisionTreeClassifier(seed=seed),
         "forest": lambda: RandomForestClassifier(numTrees=TREES, seed=seed),
     }[name]()
@@ -64,7 +66,19 @@ def _frame(like: DataFrame, names: list[str], score) -> DataFrame:
 def weight_rank(obs: DataFrame, name: str, c: float = 1.0) -> DataFrame:
     names = names_of(obs)
     rows = pack(obs, names).cache()
-    return _frame(obs, names, weights(estimator(name, c, rows.count()).fit(rows)))
+    found = weights(estimator(name, c, rows.count()).fit(rows))
+    rows.unpersist()
+    return _frame(obs, names, found)
+
+
+def train_and_test(obs: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Packed training and test rows of a matrix with is_test, both scaled by the training rows alone."""
+    z = scaling.zscore_by_train(obs, ())
+    return pack(z.where(~F.col("is_test")), names, scaled=False), pack(z.where("is_test"), names, scaled=False)
+
+
+def _accuracy(predicted: DataFrame) -> float:
+    return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(predicted)
 
 
 def _squared_weights(rows: DataFrame, keep: list[int], name: str, n: int) -> np.ndarray:
@@ -81,6 +95,7 @@ def elimination_rank(obs: DataFrame, name: str = "ridge") -> DataFrame:
         w = _squared_weights(rows, left, name, n) if len(left) > 1 else np.zeros(1)
         gone = left.pop(int(np.argmin(w)))
         score[gone] = step
+    rows.unpersist()
     return _frame(obs, names, score)
 
 
@@ -92,6 +107,7 @@ def addition_rank(obs: DataFrame, name: str = "ridge", select: int | None = None
     for step in range(min(select or len(names), len(names))):
         w = _squared_weights(rows, left, name, n) if len(left) > 1 else np.ones(1)
         score[left.pop(int(np.argmax(w)))] = len(names) - step
+    rows.unpersist()
     return _frame(obs, names, score)
 
 
@@ -99,14 +115,17 @@ def addition_cv(obs: DataFrame, k: int = 3, name: str = "ridge") -> DataFrame:
     """features, score: mean accuracy over folds of the first 1..n features of each fold's addition ranking."""
     names = names_of(obs)
     folds = resample.stratified_folds(resample.samples_of(obs), k).select("sample_id", "fold")
-    scored = []
+    split, scored = obs.join(folds, "sample_id"), []
     for fold in range(k):
-        split = obs.join(folds, "sample_id")
-        train, test = split.where(F.col("fold") != fold).drop("fold"), split.where(F.col("fold") == fold).drop("fold")
+        train = split.where(F.col("fold") != fold).drop("fold")
         order = [r["feature"] for r in addition_rank(train, name).orderBy(F.desc("score"), "feature").collect()]
+        fit, held = (x.cache() for x in train_and_test(split.withColumn("is_test", F.col("fold") == fold).drop("fold"), order))
+        n = fit.count()
         for size in range(1, len(order) + 1):
-            model = estimator(name, rows=max(1, len(names))).fit(pack(train, order[:size]))
-            scored.append((fold, size, MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(pack(test, order[:size])))))
+            first = lambda df: df.withColumn("features", array_to_vector(F.slice(vector_to_array("features"), 1, size)))  # noqa: B023, E731
+            scored.append((fold, size, _accuracy(estimator(name, rows=n).fit(first(fit)).transform(first(held)))))
+        fit.unpersist()
+        held.unpersist()
     return obs.sparkSession.createDataFrame(scored, "fold int, features int, score double").groupBy("features").agg(F.avg("score").alias("score"))
 
 
@@ -144,7 +163,7 @@ def stability_selection(obs: DataFrame, penalties: tuple[float, ...] = (0.02, 0.
 
 
 def lda_rank(obs: DataFrame, shrink: float = 1e-3) -> DataFrame:
-    """feature, score: mean absolute coefficient of linear discriminants. Class means and the pooled scatter are sums made on the cluster; one system of features is solved."""
+    """feature, score: absolute coefficient of the linear discriminant of two classes; of more, of the mean of one for each class. Class means and the pooled scatter are sums made on the cluster; one system of features is solved."""
     from pyspark.ml.stat import Summarizer
 
     names = names_of(obs)
@@ -161,13 +180,16 @@ def lda_rank(obs: DataFrame, shrink: float = 1e-3) -> DataFrame:
     for n, m in means.values():
         scatter -= n * np.outer(m, m)
     inverse = np.linalg.pinv(scatter / max(1, total - len(means)) + shrink * np.eye(len(names)))
-    return _frame(obs, names, np.mean([np.abs(inverse @ m) for _, m in means.values()], axis=0))
+    each = [inverse @ means[c][1] for c in sorted(means)]
+    return _frame(obs, names, np.abs(each[1] - each[0] if len(each) == 2 else np.mean(each, axis=0)))
 
 
 def kernel_classifier(train: DataFrame, test: DataFrame, gamma: float | None = None, ridge: float = 1.0, most: int = 5000) -> DataFrame:
-    """sample_id, y_true, y_pred of a one-against-rest kernel machine with a Gaussian kernel, fitted to at most ``most`` samples (by hash)."""
+    """sample_id, y_true, y_pred of a one-against-rest kernel machine with a Gaussian kernel, fitted to at most ``most`` samples (by hash); both sides are scaled by ``train``."""
     names = names_of(train)
-    rows = pack(train, names).orderBy(hash_order(F.lit(SEED), F.col("sample_id"))).limit(most).toPandas()
+    both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)), allowMissingColumns=True)
+    fit, held = train_and_test(both, names)
+    rows = fit.orderBy(hash_order(F.lit(SEED), F.col("sample_id"))).limit(most).toPandas()
     x = np.stack([v.toArray() for v in rows["features"]])
     classes = np.unique(rows["label"])
     g = gamma or 1 / x.shape[1]
@@ -179,16 +201,24 @@ def kernel_classifier(train: DataFrame, test: DataFrame, gamma: float | None = N
             best = classes[np.argmax(kernel(np.stack(pdf["x"].tolist())) @ alpha, axis=1)] if len(pdf) else []
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "y_true": pdf["label"].astype(int), "y_pred": np.array(best, int)})
 
-    return pack(test, names).select("sample_id", "label", vector_to_array("features").alias("x")).mapInPandas(run, "sample_id long, y_true int, y_pred int")
+    return held.select("sample_id", "label", vector_to_array("features").alias("x")).mapInPandas(run, "sample_id long, y_true int, y_pred int")
 
 
 def grid_search(obs: DataFrame, name: str = "ridge", grid: tuple[float, ...] = (1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0), k: int = 3) -> DataFrame:
-    """c, score: mean accuracy of k stratified folds for each C."""
-    rows = pack(obs, names_of(obs)).join(resample.stratified_folds(resample.samples_of(obs), k).select("sample_id", "fold"), "sample_id").cache()
-    n, model = rows.count(), estimator(name)
-    params = ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in grid]).build()
-    got = CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", parallelism=4).fit(rows)
-    return obs.sparkSession.createDataFrame([(float(c), float(s)) for c, s in zip(grid, got.avgMetrics, strict=True)], "c double, score double")
+    """c, score: mean accuracy of k stratified folds for each C; each fold is scaled by its own training rows."""
+    names = names_of(obs)
+    split = obs.join(resample.stratified_folds(resample.samples_of(obs), k).select("sample_id", "fold"), "sample_id")
+    scored = []
+    for fold in range(k):
+        fit, held = (x.cache() for x in train_and_test(split.withColumn("is_test", F.col("fold") == fold).drop("fold"), names))
+        n, model = fit.count(), estimator(name)
+        fits = model.fitMultiple(fit, [{model.regParam: 1 / (c * n)} for c in grid])
+        with ThreadPool(AT_ONCE) as pool:
+            for place, fitted in pool.imap_unordered(lambda _: next(fits), grid):  # noqa: B023
+                scored.append((float(grid[place]), _accuracy(fitted.transform(held))))
+        fit.unpersist()
+        held.unpersist()
+    return obs.sparkSession.createDataFrame(scored, "c double, score double").groupBy("c").agg(F.avg("score").alias("score"))
 
 
 def bagged_centroids(obs: DataFrame, splits: DataFrame, bags: int = 16, share: float = 0.5, seed: int = 0) -> DataFrame:

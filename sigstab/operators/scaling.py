@@ -5,40 +5,44 @@ Constant features: z-scores divide by 1, min-max and robust scaling give the low
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def _per(*keys: str) -> Window:
-    return Window.partitionBy(*keys)
+def _with_moments(obs: DataFrame, keys: tuple[str, ...], *moments: Column) -> DataFrame:
+    """Join what is summed by ``keys``: partial sums are shuffled, the matrix isn't where their table is small."""
+    found = obs.groupBy(*keys).agg(*moments)
+    same = [F.col(f"_o.{k}").eqNullSafe(F.col(f"_f.{k}")) for k in keys]
+    return obs.alias("_o").join(found.alias("_f"), reduce(Column.__and__, same)).select("_o.*", *[f"_f.{c}" for c in found.columns[len(keys) :]])
+
+
+def _centred(obs: DataFrame, keys: tuple[str, ...], value: Column) -> DataFrame:
+    z = _with_moments(obs, (*keys, "feature"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return z.withColumn("value", (F.col("value") - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).drop("_mean", "_sd")
 
 
 def zscore(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Population z-score of each feature."""
-    w = _per(*by, "feature")
-    sd = F.stddev_pop("value").over(w)
-    return obs.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
+    return _centred(obs, by, F.col("value"))
 
 
 def zscore_by_train(obs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Z-score with the mean and deviation of the rows that aren't tests, for each of ``keys`` and feature."""
-    w = _per(*keys, "feature")
-    train = F.when(~F.col("is_test"), F.col("value"))
-    sd = F.stddev_pop(train).over(w)
-    return obs.withColumn("value", (F.col("value") - F.avg(train).over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
+    return _centred(obs, keys, F.when(~F.col("is_test"), F.col("value")))
 
 
 def l2_normalise(obs: DataFrame) -> DataFrame:
     """Unit length of each sample; a sample of zeros stays."""
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(_per("sample_id")))
-    return obs.withColumn("value", F.col("value") / F.when(norm == 0, 1.0).otherwise(norm))
+    z = _with_moments(obs, ("sample_id",), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    return z.withColumn("value", F.col("value") / F.when(F.col("_norm") == 0, 1.0).otherwise(F.col("_norm"))).drop("_norm")
 
 
 def min_max(obs: DataFrame, low: float = 1e-8, high: float = 1.0) -> DataFrame:
-    w = _per("feature")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return obs.withColumn("value", low + (high - low) * (F.col("value") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo))
+    z = _with_moments(obs, ("feature",), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    span = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
+    return z.withColumn("value", low + (high - low) * (F.col("value") - F.col("_lo")) / span).drop("_lo", "_hi")
 
 
 def robust(obs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Features whose values are all equal get null statistics instead of an error. Two
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,40 +23,68 @@ def class_log_ratio(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-
     return means.select(*by, "feature", (log(0) - log(1)).alias("r01"), (log(0) - log(2)).alias("r02"), (log(1) - log(2)).alias("r12"))
 
 
-def average_ranks(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add rank (from 1, ties averaged) and ties (rows with the value), within each feature."""
-    whole, same = Window.partitionBy(*by, "feature"), Window.partitionBy(*by, "feature", "value")
-    ties = F.count(F.lit(1)).over(same)
-    return obs.withColumn("ties", ties).withColumn("rank", F.rank().over(whole.orderBy("value")) + (F.col("ties") - 1) / 2.0)
+def _rows_before(values: DataFrame, keys: tuple[str, ...], amount: Column, cells: int) -> DataFrame:
+    """Add ``before``: the sum of ``amount`` over the smaller values of the same keys; values are distinct within keys.
+
+    With ``cells``, the range of each key's finite values is cut in so many equal cells: sums run within a cell, on top
+    of the sums of the cells below, so no task takes all values of a key. Without, keys are windows, for many small keys.
+    """
+    start = Window.unboundedPreceding
+    v = values.withColumn("_amount", amount)
+    running = lambda over, by: F.coalesce(F.sum("_amount").over(Window.partitionBy(*over).orderBy(by).rowsBetween(start, -1)), F.lit(0))
+    if not cells:
+        return v.withColumn("before", running(keys, "value")).drop("_amount")
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    ends = v.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)).otherwise(0.0)
+    inside = F.least(F.lit(cells - 1), F.floor(share * cells))
+    cell = F.when(F.col("value").isNull(), -2).when(F.isnan("value"), cells + 1).when(F.col("value") == float("inf"), cells).when(F.col("value") == float("-inf"), -1).otherwise(inside)
+    v = v.join(ends, list(keys)).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    below = v.groupBy(*keys, "_cell").agg(F.sum("_amount").alias("_amount"))
+    below = below.withColumn("_below", running(keys, "_cell")).drop("_amount")
+    v = v.join(below, [*keys, "_cell"]).withColumn("before", running((*keys, "_cell"), "value") + F.col("_below"))
+    return v.drop("_amount", "_cell", "_below")
+
+
+def average_ranks(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
+    """Add rank (from 1, ties averaged) and ties (rows with the value), within each feature; ``cells`` for features of very many rows."""
+    if not cells:
+        whole, same = Window.partitionBy(*by, "feature"), Window.partitionBy(*by, "feature", "value")
+        ties = F.count(F.lit(1)).over(same)
+        return obs.withColumn("ties", ties).withColumn("rank", F.rank().over(whole.orderBy("value")) + (F.col("ties") - 1) / 2.0)
+    keys = (*by, "feature")
+    values = _rows_before(obs.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties")), keys, F.col("ties"), cells)
+    values = values.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before")
+    same = [F.col(f"_o.{k}").eqNullSafe(F.col(f"_v.{k}")) for k in (*keys, "value")]
+    return obs.alias("_o").join(values.alias("_v"), reduce(Column.__and__, same)).select("_o.*", "_v.ties", "_v.rank")
 
 
-def _rank_sums(obs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _rank_sums(obs: DataFrame, by: tuple[str, ...], cells: int = 0) -> DataFrame:
     """n, s (rank sum) by class, and tied: the sum of t^3 - t, from counts of distinct values; rows meet once a value."""
     keys = (*by, "feature")
     values = obs.groupBy(*keys, "value").pivot("y", [0, 1, 2]).agg(F.count(F.lit(1))).na.fill(0, ["0", "1", "2"])
     t = F.col("0") + F.col("1") + F.col("2")
-    before = F.coalesce(F.sum(t).over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("t", t).withColumn("rank", before + (F.col("t") + 1) / 2.0)
+    ranked = _rows_before(values, keys, t, cells).withColumn("t", t).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
     sums = [F.sum(F.col(str(k)) * F.col("rank")).alias(f"s{k}") for k in range(3)] + [F.sum(str(k)).cast("double").alias(f"n{k}") for k in range(3)]
     t = F.col("t").cast("double")
     return ranked.groupBy(*keys).agg(*sums, F.sum(t * t * t - t).alias("tied")).withColumn("n", F.col("n0") + F.col("n1") + F.col("n2"))
 
 
-def kruskal(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """h (corrected for ties) and p of three classes."""
+def kruskal(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
+    """h (corrected for ties) and p of three classes; ``cells`` for features of very many rows."""
     n = F.col("n")
     part = lambda k: F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")
     raw = 12 / (n * (n + 1)) * (part(0) + part(1) + part(2)) - 3 * (n + 1)
     factor = 1 - F.col("tied") / (n * n * n - n)
     fine = (F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n2") > 0) & (factor > 0)
-    return _rank_sums(obs, by).withColumn("h", F.when(fine, raw / factor)).select(*by, "feature", "h", F.exp(-F.col("h") / 2).alias("p"))
+    return _rank_sums(obs, by, cells).withColumn("h", F.when(fine, raw / factor)).select(*by, "feature", "h", F.exp(-F.col("h") / 2).alias("p"))
 
 
-def wilcoxon(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def wilcoxon(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
     """z and p of the rank-sum test, without corrections."""
     n0, n1, n = F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")
     z = (F.col("s0") - n0 * (n + 1) / 2) / F.sqrt(n0 * n1 * (n + 1) / 12)
-    return _rank_sums(obs.where("y < 2"), by).withColumn("z", F.when((n0 > 0) & (n1 > 0), z)).select(*by, "feature", "z", two_sided_normal(F.col("z")).alias("p"))
+    return _rank_sums(obs.where("y < 2"), by, cells).withColumn("z", F.when((n0 > 0) & (n1 > 0), z)).select(*by, "feature", "z", two_sided_normal(F.col("z")).alias("p"))
 
 
 def _moments(obs: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from .operators import models, trees
 from .catalog import (
     BASE, BEST, CANDIDATES, DOC2, FOLDS, INNER, LI, METHODS, OUTER, QUERIES, RANKS, SAMPLES, SEARCH, SEARCHED, TRAIN0, UNIQUE,
@@ -10,6 +12,8 @@ from .catalog import (
 )
 
 OBS3, OBS2 = obs_sql(3), obs_sql(2)
+#: Cells for ranks within one feature that has a row for every order.
+CELLS = 4096
 
 
 def emb(spark: SparkSession, sf_dir: str, classes: int = 3) -> DataFrame:
@@ -118,14 +122,14 @@ SELECT sample_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY va
 def avg_rank_ties(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     obs = orders.select(F.lit("price").alias("feature"), F.col("o_orderkey").alias("sample_id"), F.round(F.col("o_totalprice") / 1000).alias("value"))
-    return stats.average_ranks(obs).select("sample_id", F.col("rank").cast("double").alias("rank"), "ties")
+    return stats.average_ranks(obs, cells=CELLS).select("sample_id", F.col("rank").cast("double").alias("rank"), "ties")
 
 
 @query(f"WITH oo AS (SELECT 'price' AS feature, o_totalprice AS value, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS y FROM orders) SELECT feature, {rnd('h')} AS h, {rnd('p')} AS p FROM {kruskal_sql('oo')}")
 def kruskal_h(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("price").alias("feature"), F.col("o_totalprice").alias("value"), "o_orderstatus")
     levels = orders.select("o_orderstatus").distinct().withColumn("y", F.dense_rank().over(Window.orderBy("o_orderstatus")) - 1)
-    return rounded(stats.kruskal(orders.join(levels, "o_orderstatus")), "h", "p")
+    return rounded(stats.kruskal(orders.join(levels, "o_orderstatus"), cells=CELLS), "h", "p")
 
 
 @query(
@@ -226,7 +230,7 @@ def corr_groups(spark, sf_dir) -> DataFrame:
 def corr_groups_roundtrip(spark, sf_dir):
     lines = corr_groups(spark, sf_dir).select(F.concat_ws(",", F.array("kept"), "dropped").alias("line"))
     cells = F.split("line", ",")
-    return lines.select(cells[0].alias("kept"), F.explode(F.slice(cells, 2, 1000)).alias("dropped")).where("dropped <> ''")
+    return lines.select(cells[0].alias("kept"), F.explode(F.slice(cells, F.lit(2), F.size(cells))).alias("dropped")).where("dropped <> ''")
 
 
 @query(f"WITH {OBS3} SELECT a.sample_id AS a, b.sample_id AS b, {rnd('sqrt(sum(pow(a.value - b.value, 2)))')} AS d FROM obs a JOIN obs b ON a.feature = b.feature AND a.sample_id < b.sample_id WHERE a.sample_id < 40 AND b.sample_id < 40 GROUP BY 1, 2")
@@ -701,7 +705,7 @@ def tree_importance_rank(spark, sf_dir):
 
 @query()
 def svm_weights_rank(spark, sf_dir):
-    return models.weight_rank(part_of(spark, sf_dir), "svm")
+    return models.weight_rank(emb(spark, sf_dir), "svm")
 
 
 @query()
@@ -721,7 +725,7 @@ def rfa_cv(spark, sf_dir):
 
 @query()
 def stability_selection(spark, sf_dir):
-    return models.stability_selection(part_of(spark, sf_dir))
+    return models.stability_selection(emb(spark, sf_dir))
 
 
 @query()
@@ -737,18 +741,20 @@ def bagging_vote(spark, sf_dir):
 
 @query()
 def soft_vote(spark, sf_dir):
-    return models.soft_vote(part_of(spark, sf_dir))
+    return models.soft_vote(emb(spark, sf_dir))
 
 
 @query()
 def rbf_classifier(spark, sf_dir):
-    obs = part_of(spark, sf_dir)
-    return models.kernel_classifier(obs.where("sample_id % 4 <> 0"), obs.where("sample_id % 4 = 0"))
+    obs = emb(spark, sf_dir)
+    split = obs.join(resample.stratified_folds(resample.samples_of(obs), 4).select("sample_id", "fold"), "sample_id")
+    each = [models.kernel_classifier(split.where(F.col("fold") != k).drop("fold"), split.where(F.col("fold") == k).drop("fold")) for k in range(4)]
+    return reduce(DataFrame.union, each)
 
 
 @query()
 def ridge_grid_search(spark, sf_dir):
-    return models.grid_search(part_of(spark, sf_dir), grid=(0.1, 10.0))
+    return models.grid_search(emb(spark, sf_dir))
 
 
 @query()
