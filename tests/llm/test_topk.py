@@ -50,11 +50,3 @@ def test_blocks_are_pruned_by_their_bounds(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 10)
     rows = [(k, [k / 100, 1.0]) for k in range(400)]
     assert searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows, 20)
-
-
-def test_tiles_of_a_block(spark, monkeypatch):
-    """A block of many tiles gives what one tile gives, ties and a query's own row included."""
-    monkeypatch.setattr(topk, "TILE", 7)
-    rng = random.Random(9)
-    rows = [(k, [float(rng.choice([-1, 0, 0.5])) for _ in range(4)]) for k in range(200)]
-    assert searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows, 20)
