@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,15 +52,21 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Long form of a matrix file whose rows are features: line 1 has sample names, line 2 labels, then name and values.
 
-    All spaces are dropped from every cell. The two head lines are as long as there are samples; the rest is read by row.
+    All spaces are dropped from every cell. Empty cells and cells that aren't numbers are null; short lines lack their last
+    samples. Only the two head lines come to the driver, from the start of the first file; the rest is read by row, and the
+    names and labels of the samples are joined to it as a table.
     """
-    lines = spark.read.text(path).withColumn("cells", F.split(F.regexp_replace(F.regexp_replace("value", "﻿| |\r", ""), '"', ""), f"[{sep}]"))
-    head = spark.read.text(path).limit(2).collect()
-    names, labels = (h[0].replace("﻿", "").replace(" ", "").replace('"', "").strip("\r").split(sep)[1:] for h in head)
-    rows = lines.select(F.col("cells")[0].alias("feature"), F.posexplode(F.slice("cells", 2, len(names))).alias("sample_pos", "value"), F.col("value").alias("line"))
-    rows = rows.where(~F.col("line").isin([h[0] for h in head]) & (F.col("feature") != ""))
-    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("sample_pos") + 1)
-    return with_codes(rows.select(at(names).alias("sample_id"), "sample_pos", at(labels).alias("label"), "feature", F.col("value").cast("double").alias("value")))
+    raw = spark.read.text(path)
+    first = raw.agg(F.min("_metadata.file_path")).first()[0]
+    head = [r[0] for r in raw.where((F.col("_metadata.file_path") == first) & (F.col("_metadata.file_block_start") == 0)).select("value").limit(2).collect()]
+    if len(head) < 2:
+        raise ValueError(f"{path} lacks its lines of sample names and labels")
+    names, labels = ([x.strip() for x in h.replace("\ufeff", "").replace(" ", "").replace('"', "").split(sep)][1:] for h in head)
+    codes = {x: y for y, x in enumerate(sorted(set(labels)))}
+    samples = spark.createDataFrame([(k, n, x, codes[x]) for k, (n, x) in enumerate(zip(names, labels, strict=True))], "sample_pos int, sample_id string, label string, y int")
+    cells = F.split(F.regexp_replace("value", '[\ufeff \r"]', ""), f"[{sep}]")
+    rows = raw.where(~F.col("value").isin(head)).select(cells.alias("cells")).select(F.col("cells")[0].alias("feature"), F.posexplode(F.slice("cells", 2, len(names))).alias("sample_pos", "value"))
+    return rows.where("feature <> ''").join(samples, "sample_pos").select("sample_id", "sample_pos", "label", "y", "feature", F.expr("try_cast(value as double)").alias("value"))
 
 
 def to_frame(obs: DataFrame, samples: list) -> DataFrame:
@@ -77,11 +84,26 @@ def write_csv(obs: DataFrame, path: str) -> None:
 
 
 def read_ragged(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """row_id, feature of a headerless file with lists of features (signatures, or a kept feature and those it dropped)."""
-    lines = spark.read.text(path).select(F.xxhash64("value").alias("row_id"), F.posexplode(F.split("value", sep)).alias("pos", "feature"))
+    """row_id, pos, feature of a headerless file with lists of features (signatures, or a kept feature and those it dropped).
+
+    Empty cells are left out; equal lines are rows of their own.
+    """
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.posexplode(F.split("value", sep)).alias("pos", "feature"))
     return lines.withColumn("feature", F.trim("feature")).where("feature <> ''")
 
 
+def read_groups(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """kept, dropped (array) of a file of correlation groups; no rows if there is no such file."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "kept string, dropped array<string>")
+    cells = lines.select(F.filter(F.transform(F.split("value", sep), lambda x: F.trim(x)), lambda x: x != "").alias("cells")).where(F.size("cells") > 0)
+    return cells.select(F.col("cells")[0].alias("kept"), F.slice("cells", 2, F.size("cells")).alias("dropped"))
+
+
 def write_ragged(groups: DataFrame, path: str) -> None:
     """kept, dropped (array): a line for each, padded to the same number of cells."""
     width = groups.agg(F.max(F.size("dropped"))).first()[0] or 0
@@ -99,6 +121,19 @@ def write_rank(scores: DataFrame, path: str) -> None:
     scores.orderBy(F.desc("score"), "name").select("index", "name", F.format_string("%f", "score").alias("score")).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """feature, method, score of a table with a column for each method; features that a method lacks have no row."""
+    wide = spark.read.csv(path, header=True)
+    name, *methods = wide.columns
+    long = wide.withColumnRenamed(name, "feature").unpivot("feature", methods, "method", "score")
+    return long.withColumn("score", F.expr("try_cast(score as double)")).where("score is not null")
+
+
+def write_table(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """A small result table (names, scores or positions by method) as one file with a header."""
+    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def read_annotations(spark: SparkSession, path: str, multi: tuple[str, ...] = ()) -> DataFrame:
     """An annotation file; columns in ``multi`` become arrays, split at semicolons."""
     df = spark.read.csv(path, header=True)
