@@ -88,8 +88,9 @@ def read_ragged(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
     Empty cells are left out; equal lines are rows of their own.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.posexplode(F.split("value", sep)).alias("pos", "feature"))
-    return lines.withColumn("feature", F.trim("feature")).where("feature <> ''")
+    lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
+    cells = lines.select("row_id", F.posexplode(F.split("value", sep)).alias("pos", "feature"))
+    return cells.withColumn("feature", F.trim("feature")).where("feature <> ''")
 
 
 def read_groups(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
