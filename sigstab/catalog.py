@@ -176,3 +176,4 @@ FIRST_STEPS = [("cv_std", "min", 0.025, 3, "<"), ("cv_mean", "max", 0.025, 3, ">
 BEST = cascade_sql("scored", "first_best", FIRST_STEPS) + ", " + cascade_sql("first_best", "best", signatures.BEST_STEPS, 10)
 
 from . import queries as _queries  # noqa: E402, F401
+from . import final_queries as _final_queries  # noqa: E402, F401

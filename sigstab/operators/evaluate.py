@@ -13,37 +13,63 @@ from pyspark.sql.window import Window
 from . import scaling
 
 
-def _split_rows(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """z-scored rows of every split, by its training part."""
-    return scaling.zscore_by_train(obs.join(splits.drop("label"), "sample_id"), keys)
+def _split_rows(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...], extra: DataFrame | None = None) -> DataFrame:
+    """z-scored rows of every split, by its training part; ``extra`` are training rows (keys, y, feature, value) besides."""
+    rows = obs.join(splits.drop("label"), "sample_id")
+    if extra is not None:
+        rows = rows.unionByName(extra.withColumn("is_test", F.lit(False)), allowMissingColumns=True)
+    return scaling.zscore_by_train(rows, keys)
 
 
 def _centroids(z: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return z.where(~F.col("is_test")).groupBy(*keys, "feature", F.col("y").alias("c")).agg(F.avg("value").alias("m"))
 
 
-def feature_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
+def feature_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",), extra: DataFrame | None = None) -> DataFrame:
     """keys, sample_id, y, feature, c, d: squared distance of each test value to the class mean of c."""
-    z = _split_rows(obs, splits, keys)
+    z = _split_rows(obs, splits, keys, extra)
     tests = z.where("is_test").select(*keys, "sample_id", "y", "feature", "value")
     return tests.join(_centroids(z, keys), [*keys, "feature"]).select(*keys, "sample_id", "y", "feature", "c", F.pow(F.col("value") - F.col("m"), 2).alias("d"))
 
 
-def _nearest(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+#: Estimators whose loss is a sum over features, in the catalogue's order.
+ESTIMATORS = ("centroid", "naive_bayes", "manhattan")
+
+
+def estimator_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",), names: tuple[str, ...] = ESTIMATORS) -> DataFrame:
+    """keys, estimator, sample_id, y, feature, c, d: each test value's loss for class c, which signatures add up.
+
+    centroid: squared distance to the class mean; manhattan: absolute distance; naive_bayes: twice the negative logarithm
+    of the normal density, but for a constant (classes count as equally likely; variances are not under 1e-9).
+    """
+    z = _split_rows(obs, splits, keys)
+    each = z.where(~F.col("is_test")).groupBy(*keys, "feature", F.col("y").alias("c")).agg(F.avg("value").alias("m"), F.greatest(F.lit(1e-9), F.var_pop("value")).alias("v"))
+    gap = F.col("value") - F.col("m")
+    loss = {"centroid": gap * gap, "manhattan": F.abs(gap), "naive_bayes": gap * gap / F.col("v") + F.log("v")}
+    both = z.where("is_test").select(*keys, "sample_id", "y", "feature", "value").join(each, [*keys, "feature"])
+    many = F.explode(F.array(*[F.struct(F.lit(n).alias("estimator"), loss[n].alias("d")) for n in names])).alias("x")
+    return both.select(*keys, "sample_id", "y", "feature", "c", many).select(*keys, "x.estimator", "sample_id", "y", "feature", "c", "x.d")
+
+
+def nearest(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     first = F.min(F.struct(F.round("d", 9).alias("d"), "c"))
     return sums.groupBy(*keys, "sample_id", "y").agg(first.alias("x")).select(*keys, "sample_id", F.col("y").alias("y_true"), F.col("x.c").alias("y_pred"))
 
 
 def predict(d: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = ()) -> DataFrame:
     """keys, sig_id, sample_id, y_true, y_pred for signatures (on, sig_id, genes); ``on`` are keys that both sides share."""
+    return nearest(loss_sums(d, signatures, keys, on), (*keys, "sig_id"))
+
+
+def loss_sums(d: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = ()) -> DataFrame:
+    """keys, sig_id, sample_id, y, c, d: losses added up over each signature's features."""
     genes = signatures.select(*on, "sig_id", F.explode("genes").alias("feature"))
-    sums = d.join(genes, [*on, "feature"]).groupBy(*keys, "sig_id", "sample_id", "y", "c").agg(F.sum("d").alias("d"))
-    return _nearest(sums, (*keys, "sig_id"))
+    return d.join(genes, [*on, "feature"]).groupBy(*keys, "sig_id", "sample_id", "y", "c").agg(F.sum("d").alias("d"))
 
 
 def predict_all(d: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
     """Predictions with all features."""
-    return _nearest(d.groupBy(*keys, "sample_id", "y", "c").agg(F.sum("d").alias("d")), keys)
+    return nearest(d.groupBy(*keys, "sample_id", "y", "c").agg(F.sum("d").alias("d")), keys)
 
 
 def leave_one_out(obs: DataFrame) -> DataFrame:
@@ -62,7 +88,7 @@ def leave_one_out(obs: DataFrame) -> DataFrame:
     sd = F.when(var <= 1e-12 * F.col("v"), 1.0).otherwise(F.sqrt(var))
     gap = F.col("value") - F.when(own, F.col("mc") + (F.col("mc") - F.col("value")) / (F.col("nc") - 1)).otherwise(F.col("mc"))
     sums = both.select("sample_id", "y", "c", F.pow(gap / sd, 2).alias("d")).groupBy("sample_id", "y", "c").agg(F.sum("d").alias("d"))
-    return _nearest(sums, ())
+    return nearest(sums, ())
 
 
 def predict_correlation(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
@@ -70,7 +96,7 @@ def predict_correlation(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...]
     z = _split_rows(obs, splits, keys)
     both = z.where("is_test").select(*keys, "sample_id", "y", "feature", "value").join(_centroids(z, keys), [*keys, "feature"])
     sums = both.groupBy(*keys, "sample_id", "y", "c").agg(F.covar_pop("value", "m").alias("v"), F.stddev_pop("value").alias("s"), F.stddev_pop("m").alias("t"))
-    return _nearest(sums.select(*keys, "sample_id", "y", "c", (1 - F.when((F.col("s") > 0) & (F.col("t") > 0), F.col("v") / (F.col("s") * F.col("t"))).otherwise(0.0)).alias("d")), keys)
+    return nearest(sums.select(*keys, "sample_id", "y", "c", (1 - F.when((F.col("s") > 0) & (F.col("t") > 0), F.col("v") / (F.col("s") * F.col("t"))).otherwise(0.0)).alias("d")), keys)
 
 
 def confusion(predictions: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
@@ -98,6 +124,41 @@ def metrics(cells: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
     return sums.select(*keys, (F.col("h") / s).alias("accuracy"), "precision", "recall", "f1", "fbeta", F.when(pe < 1, (F.col("h") / s - pe) / (1 - pe)).otherwise(0.0).alias("kappa"), F.when(spread > 0, (F.col("h") * s - F.col("tp")) / spread).otherwise(0.0).alias("mcc"))
 
 
+def class_metrics(cells: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """keys, c, support, precision, recall, f1 and fbeta (0.5) of every class that is true or predicted; 0 where undefined."""
+    both = cells.select(*keys, F.explode(F.array_distinct(F.array("y_true", "y_pred"))).alias("c"), "y_true", "y_pred", F.col("n").cast("double").alias("n"))
+    some = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0.0))
+    is_true, is_pred = F.col("y_true") == F.col("c"), F.col("y_pred") == F.col("c")
+    sums = both.groupBy(*keys, "c").agg(some(is_true).alias("t"), some(is_pred).alias("p"), some(is_true & is_pred).alias("h"))
+    over = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    t, p, h = F.col("t"), F.col("p"), F.col("h")
+    return sums.select(*keys, "c", t.cast("long").alias("support"), over(h, p).alias("precision"), over(h, t).alias("recall"), over(2 * h, t + p).alias("f1"), over(1.25 * h, 0.25 * t + p).alias("fbeta"))
+
+
+def probabilities(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, sample_id, y, c, p (nine digits): the classes' shares exp(-d / 2), from summed losses d."""
+    w = Window.partitionBy(*keys, "sample_id")
+    e = sums.withColumn("e", F.exp((F.min("d").over(w) - F.col("d")) / 2))
+    return e.select(*keys, "sample_id", "y", "c", F.round(F.col("e") / F.sum("e").over(w), 9).alias("p"))
+
+
+def probability_metrics(probs: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """roc_auc, average_precision (means over the classes, each against the others) and log_loss (p not under 1e-15).
+
+    Rows of one probability count together, so ties need no order. A class that is absent, or alone, has no curve.
+    """
+    of = (*keys, "c")
+    hit = (F.col("y") == F.col("c")).cast("double")
+    values = probs.groupBy(*of, "p").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    w, down = Window.partitionBy(*of), Window.partitionBy(*of).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    v = values.select(*of, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(w).alias("n1"), F.sum("neg").over(w).alias("n0"))
+    auc = F.sum(F.col("pos") * (F.col("n0") - F.col("fp") + F.col("neg") / 2)) / F.first(F.col("n1") * F.col("n0"))
+    ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("n1")
+    curves = v.where("n1 > 0 and n0 > 0").groupBy(*of).agg(auc.alias("auc"), ap.alias("ap")).groupBy(*keys).agg(F.avg("auc").alias("roc_auc"), F.avg("ap").alias("average_precision"))
+    loss = probs.where("y = c").groupBy(*keys).agg(F.avg(-F.log(F.greatest(F.col("p"), F.lit(1e-15)))).alias("log_loss"))
+    return loss.join(curves, list(keys), "left")
+
+
 def cv_summary(predictions: DataFrame, keys: tuple[str, ...], split: str = "split") -> DataFrame:
     """cv_mean and cv_std (population) of the splits' accuracy, to three digits half-even."""
     each = accuracy(predictions, (*keys, split))
@@ -106,7 +167,7 @@ def cv_summary(predictions: DataFrame, keys: tuple[str, ...], split: str = "spli
 
 def single_features(d: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
     """feature, score: mean accuracy over splits of each feature alone."""
-    each = accuracy(_nearest(d, (*keys, "feature")), (*keys, "feature"))
+    each = accuracy(nearest(d, (*keys, "feature")), (*keys, "feature"))
     return each.groupBy("feature").agg(F.avg("score").alias("score"))
 
 
@@ -125,7 +186,7 @@ def mean_decrease(obs: DataFrame, splits: DataFrame, reps: int = 3, seed: int =
     many = tests.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     moved = permute(many, "value", ("split", "feature", "rep"), seed).join(means, ["split", "feature"]).withColumn("new", F.pow(F.col("permuted") - F.col("m"), 2)).select("split", "rep", "sample_id", "y", "feature", "c", "new")
     sums = moved.join(d, ["split", "sample_id", "y", "feature", "c"]).join(total, ["split", "sample_id", "y", "c"]).select("split", "rep", "feature", "sample_id", "y", "c", (F.col("all") - F.col("d") + F.col("new")).alias("d"))
-    shuffled = accuracy(_nearest(sums, ("split", "rep", "feature")), ("split", "rep", "feature")).groupBy("feature").agg(F.avg("score").alias("s"))
+    shuffled = accuracy(nearest(sums, ("split", "rep", "feature")), ("split", "rep", "feature")).groupBy("feature").agg(F.avg("score").alias("s"))
     base = accuracy(predict_all(d), ("split",)).agg(F.avg("score").alias("base"))
     return shuffled.crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("s")).alias("score"))
 

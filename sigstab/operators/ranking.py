@@ -84,21 +84,16 @@ def _cells(ranked: DataFrame) -> DataFrame:
 
 
 def top_half(ranked: DataFrame, of: Column, absent: float) -> DataFrame:
-    """feature, fold, half: the mean of the best ``of`` scores of the feature in the fold; ``absent`` where it has none."""
+    """feature, fold, half: the mean of the best ``of`` scores of the feature in the fold; ``absent`` where it has none.
+
+    ``of`` may name the column ``features``, the number of features of the fold.
+    """
     order = Window.partitionBy("fold", "feature").orderBy(F.desc("score"), "method")
-    best = ranked.withColumn("_of", of).withColumn("_r", F.row_number().over(order)).where("_r <= _of").groupBy("feature", "fold").agg(F.avg("score").alias("half"))
+    counts = ranked.groupBy("fold").agg(F.count_distinct("feature").alias("features"))
+    best = ranked.join(counts, "fold").withColumn("_of", of).withColumn("_r", F.row_number().over(order)).where("_r <= _of").groupBy("feature", "fold").agg(F.avg("score").alias("half"))
     return _cells(ranked).join(best, ["feature", "fold"], "left").na.fill(absent, ["half"])
 
 
-def n_methods(ranked: DataFrame) -> Column:
-    return F.lit(ranked.select("method").distinct().count())
-
-
-def features_in_fold() -> Column:
-    """The number of features of a row's fold."""
-    return F.size(F.collect_set("feature").over(Window.partitionBy("fold")))
-
-
 def top_counts(ranked: DataFrame, k: int = 10) -> DataFrame:
     """fold, feature, n: in how many methods the feature is among the first k; zero too."""
     return ranked.groupBy("fold", "feature").agg(F.sum(F.when(F.col("pos") < k, 1).otherwise(0)).alias("n"))

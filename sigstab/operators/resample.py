@@ -15,6 +15,21 @@ def samples_of(obs: DataFrame) -> DataFrame:
     return obs.select("sample_id", "label").distinct()
 
 
+def check_classes(obs: DataFrame, folds: int = 1, most: int = 3) -> None:
+    """Raise unless there are 2 to ``most`` classes, each with at least ``folds`` samples."""
+    sizes = {r["label"]: r["count"] for r in samples_of(obs).groupBy("label").count().limit(most + 1).collect()}
+    if not 2 <= len(sizes) <= most:
+        raise ValueError(f"two to {most} classes are needed, not {len(sizes)}{'' if len(sizes) <= most else ' or more'}")
+    if min(sizes.values()) < folds:
+        raise ValueError(f"{folds} folds need as many samples in each class; the smallest has {min(sizes.values())}")
+
+
+def feature_limit(obs: DataFrame, most: int = 20) -> int:
+    """The longest signature to try: the least of ``most`` and the numbers of features and samples."""
+    n = obs.agg(F.count_distinct("feature").alias("f"), F.count_distinct("sample_id").alias("s")).first()
+    return min(most, n["f"], n["s"])
+
+
 def stratified_folds(samples: DataFrame, k: int) -> DataFrame:
     """Add fold (from 0): contiguous parts of each class in order of id, the first ones larger."""
     return samples.withColumn("fold", F.ntile(k).over(Window.partitionBy("label").orderBy("sample_id")) - 1)
@@ -98,3 +113,19 @@ def smote_to_majority(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     most = max(sizes.values(), default=0)
     parts = [smote(obs, c, most - n, k, seed) for c, n in sorted(sizes.items()) if n < most]
     return reduce(DataFrame.unionByName, parts) if parts else obs.limit(0).select(F.lit(0).cast("long").alias("new_id"), "label", "feature", "value")
+
+
+def smote_by_fold(train: DataFrame, folds: list[int], k: int = 5, seed: int = 0) -> DataFrame:
+    """fold, y, feature, value: the points that fill every class of a fold's training rows to the size of its largest.
+
+    A class of one sample has no neighbours, so such a fold gets no points: it is scored as it is.
+    """
+    codes = train.select("label", "y").distinct()
+    parts = []
+    for f in folds:  # a plan for each of the few outer folds
+        rows = train.where(F.col("fold") == f)
+        sizes = [r["count"] for r in samples_of(rows).groupBy("label").count().collect()]
+        if sizes and min(sizes) > 1:
+            parts.append(smote_to_majority(rows, k, seed).withColumn("fold", F.lit(f)))
+    made = reduce(DataFrame.unionByName, parts) if parts else train.limit(0)
+    return made.select("fold", "label", "feature", "value").join(codes, "label").select("fold", "y", "feature", "value")

@@ -108,6 +108,32 @@ def best(scored: DataFrame, by: tuple[str, ...] = ("fold",)) -> DataFrame:
     return _cascade(first, BEST_STEPS, by, gate=10)
 
 
+def pick_estimator(scored: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """by, estimator, score: the estimator with the highest mean score over all signatures; the first of ``order`` among equals."""
+    means = scored.groupBy(*by, "estimator").agg(F.avg("cv_mean").alias("score"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("estimator"))
+    return means.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), place))).where("_r = 1").drop("_r")
+
+
+def catalogue_table(scored: DataFrame, estimators: tuple[str, ...], by: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """by, sig_id and a column cv_<estimator> for each: the catalogue's layout."""
+    wide = scored.groupBy(*by, "sig_id").pivot("estimator", list(estimators)).agg(F.first("cv_mean"))
+    return wide.select(*by, "sig_id", *[F.col(e).alias(f"cv_{e}") for e in estimators])
+
+
+def substitutes(chosen: DataFrame, groups: DataFrame, by: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """by, sig_id, genes, origin, methods, mean_freq, cv_mean: chosen signatures with features replaced by their correlates.
+
+    They inherit methods and mean frequency and have a score of -5 until they are scored. Signatures that are chosen
+    themselves are left out, and of several origins the first by name counts.
+    """
+    ways = expand_correlates(chosen.select("sig_id", "genes").distinct(), groups)
+    made = chosen.select(*by, F.col("sig_id").alias("origin"), "methods", "mean_freq").join(ways.select(F.col("sig_id").alias("origin"), F.col("new_id").alias("sig_id"), "genes"), "origin")
+    new = made.join(chosen.select(*by, "sig_id"), [*by, "sig_id"], "left_anti")
+    first = F.min_by(F.struct("genes", "origin", "methods", "mean_freq"), "origin").alias("x")
+    return new.groupBy(*by, "sig_id").agg(first).select(*by, "sig_id", "x.*", F.lit(-5.0).alias("cv_mean"))
+
+
 def best_estimators(scored: DataFrame) -> DataFrame:
     """The estimators with the highest score of each signature, ties kept."""
     return scored.withColumn("_r", F.rank().over(Window.partitionBy("sig_id").orderBy(F.desc("score")))).where("_r = 1").drop("_r")
@@ -139,8 +165,13 @@ def mean_frequency(frequency: DataFrame, folds: int) -> DataFrame:
     return frequency.groupBy("feature").agg((F.sum("freq") / folds).alias("mean_freq"))
 
 
-def max_per_rank(candidates: DataFrame, scored: DataFrame, folds: list[int]) -> DataFrame:
-    """method, a column for each fold with the best cv_mean of its signatures, and their mean."""
+def max_per_rank(candidates: DataFrame, scored: DataFrame, folds: list[int], first_owner: bool = False) -> DataFrame:
+    """method, a column for each fold with the best cv_mean of its signatures, and their mean.
+
+    With ``first_owner`` a signature counts for its first method by name only, as if each were scored once, in that order.
+    """
+    if first_owner:
+        candidates = scored.select("fold", "sig_id", F.col("owner").alias("method"))
     each = candidates.join(scored.select("fold", "sig_id", "cv_mean"), ["fold", "sig_id"]).groupBy("method").pivot("fold", folds).agg(F.max("cv_mean"))
     mean = reduce(lambda a, b: a + b, [F.col(str(f)) for f in folds]) / len(folds)
     return each.select("method", *[F.col(str(f)).alias(f"fold_{f}") for f in folds], mean.alias("mean"))

@@ -23,6 +23,12 @@ def class_log_ratio(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-
     return means.select(*by, "feature", (log(0) - log(1)).alias("r01"), (log(0) - log(2)).alias("r02"), (log(1) - log(2)).alias("r12"))
 
 
+def class_log_ratio_two(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-7) -> DataFrame:
+    """r01 and r10 of two classes, as in ``class_log_ratio``."""
+    three = class_log_ratio(obs.where("y < 2"), by, floor)
+    return three.select(*by, "feature", "r01", (-F.col("r01")).alias("r10"))
+
+
 def _rows_before(values: DataFrame, keys: tuple[str, ...], amount: Column, cells: int) -> DataFrame:
     """Add ``before``: the sum of ``amount`` over the smaller values of the same keys; values are distinct within keys.
 
@@ -102,8 +108,10 @@ def t_test(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("p", F.when(F.col("t").isNotNull(), two_sided_t(F.col("t"), F.col("df"))))
 
 
-def anova_f(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """score: between-class over within-class variance."""
+def anova_f(obs: DataFrame, by: tuple[str, ...] = (), mode: str = "f") -> DataFrame:
+    """score: between-class over within-class variance; mode "reference" gives the binned mutual information under this name."""
+    if mode == "reference":
+        return binned_mutual_information(obs, by)
     each = _moments(obs, by)
     total = Window.partitionBy(*by, "feature")
     grand = F.sum(F.col("n") * F.col("m")).over(total) / F.sum("n").over(total)

@@ -6,10 +6,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluate, ranking, resample, signatures, stats
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder of the session: later stages join such small tables several times, and
+    would otherwise repeat their whole plan at each place."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class RankConfig:
     """Settings of the ranking stage; ``p_value`` None ranks all features ("no filter")."""
@@ -30,6 +43,8 @@ class SignatureConfig:
     top_frequency: int = 10
     delta: float = 0.10
     combinations: tuple[int, ...] = ()
+    candidate_splits: int = 5
+    final_splits: int = 8
 
 
 def folds(obs: DataFrame, k: int) -> DataFrame:
@@ -52,8 +67,19 @@ def train_rows(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
 
 
 def rank(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
-    """fold, method, feature, score, pos. The training rows are cached, since each method scans them; so is the small result."""
-    return ranking.positions(ranking.normalise(ranking.score(train_rows(obs, config).cache()))).cache()
+    """fold, method, feature, score, pos. The training rows are cached, since each method scans them; the small result is stored."""
+    rows = train_rows(obs, config).cache()
+    out = stored(ranking.positions(ranking.normalise(ranking.score(rows))))
+    rows.unpersist()
+    return out
+
+
+def inner_splits(obs: DataFrame, ranks: RankConfig, k: int) -> DataFrame:
+    """sample_id, fold, split, is_test: k stratified folds inside the training part of each outer fold."""
+    outer = folds(obs, ranks.outer_folds).where("not outer").join(resample.samples_of(obs), "sample_id")
+    inner = resample.stratified_folds(outer.withColumn("label", F.concat_ws("/", F.col("fold"), "label")).withColumnRenamed("fold", "_f"), k)
+    splits = inner.select("sample_id", F.col("_f").alias("outer_fold"), F.col("fold").alias("part")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return splits.select("sample_id", F.col("outer_fold").alias("fold"), "split", (F.col("part") == F.col("split")).alias("is_test"))
 
 
 def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig(), ranked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,28 +88,89 @@ def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: R
     found = signatures.prefixes(ranked, config.most_features)
     for k in config.combinations:
         found = found.unionByName(signatures.combinations(ranked, config.most_features, k))
-    unique = signatures.catalogue(found).cache()
+    unique = stored(signatures.catalogue(found))
     outer = folds(obs, ranks.outer_folds)
-    inner = resample.stratified_folds(outer.where("not outer").join(resample.samples_of(obs), "sample_id").withColumn("label", F.concat_ws("/", F.col("fold"), "label")).withColumnRenamed("fold", "_f"), config.inner_splits)
-    splits = inner.select("sample_id", F.col("_f").alias("outer_fold"), F.col("fold").alias("part")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(config.inner_splits - 1))))
-    splits = splits.select("sample_id", F.col("outer_fold").alias("fold"), "split", (F.col("part") == F.col("split")).alias("is_test"))
+    splits = inner_splits(obs, ranks, config.inner_splits)
     used = unique.select(F.explode("genes").alias("feature")).distinct()
     d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"))
     scored = evaluate.cv_summary(evaluate.predict(d, unique, ("fold", "split"), ("fold",)), ("fold", "sig_id"))
     freq = ranking.top_counts(ranked, config.top_frequency).join(ranked.groupBy("fold").agg(F.count_distinct("method").alias("m")), "fold").select("fold", "feature", (F.col("n") / F.col("m")).alias("freq"))
     train = obs.join(outer, "sample_id").where("not outer")
     full = signatures.with_means(unique, freq, stats.kruskal(train, ("fold",)))
-    return found, signatures.adjusted(full.join(scored, ["fold", "sig_id"])).cache()
-
-
-def outer_scores(obs: DataFrame, chosen: DataFrame, ranks: RankConfig = RankConfig()) -> DataFrame:
-    """fold, sig_id, score: accuracy of each chosen signature on its fold's test samples."""
+    return found, stored(signatures.adjusted(full.join(scored, ["fold", "sig_id"])))
+
+
+def rescore(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig()) -> DataFrame:
+    """``found`` with cv_mean and cv_std of k inner splits instead of its own, and adjusted from these."""
+    used = found.select(F.explode("genes").alias("feature")).distinct()
+    d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), inner_splits(obs, ranks, k), ("fold", "split"))
+    scores = evaluate.cv_summary(evaluate.predict(d, found, ("fold", "split"), ("fold",)), ("fold", "sig_id"))
+    return signatures.adjusted(found.drop("cv_mean", "cv_std", "adjusted").join(scores, ["fold", "sig_id"]))
+
+
+def candidates(obs: DataFrame, scored: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+    """The signatures near their fold's best, scored again with more splits."""
+    return stored(rescore(obs, signatures.near_best(scored, delta=config.delta), config.candidate_splits, ranks))
+
+
+def with_correlates(obs: DataFrame, chosen: DataFrame, groups: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+    """fold, sig_id, genes, methods, mean_freq, cv_mean, cv_std, adjusted, correlate: the chosen signatures, and of those made
+    of them with correlates the ones that score over the fold's best chosen one less delta."""
+    made = rescore(obs, stored(signatures.substitutes(chosen, stored(groups))), config.candidate_splits, ranks)
+    columns = ["fold", "sig_id", "genes", "methods", "mean_freq", "cv_mean", "cv_std", "adjusted"]
+    edge = chosen.groupBy("fold").agg((F.round(F.max("cv_mean") * 1000) - round(config.delta * 1000)).alias("edge"))
+    near = made.join(edge, "fold").where(F.round(F.col("cv_mean") * 1000) > F.col("edge"))
+    both = chosen.select(*columns, F.lit(False).alias("correlate")).unionByName(near.select(*columns, F.lit(True).alias("correlate")))
+    return both.dropDuplicates(["fold", "sig_id"])
+
+
+def estimator_scores(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig(), names: tuple[str, ...] = evaluate.ESTIMATORS) -> DataFrame:
+    """fold, sig_id, estimator, cv_mean, cv_std of every estimator in k inner splits: one pass, with estimators as keys."""
+    used = found.select(F.explode("genes").alias("feature")).distinct()
+    d = evaluate.estimator_distances(obs.join(used, "feature", "left_semi"), inner_splits(obs, ranks, k), ("fold", "split"), names)
+    return evaluate.cv_summary(evaluate.predict(d, found, ("estimator", "fold", "split"), ("fold",)), ("fold", "sig_id", "estimator"))
+
+
+def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+    """fold, sig_id, estimator, part ("cv": means over inner splits, "test": fitted on the fold's training rows, scored outside),
+    the metrics of predictions and of probabilities, and best: whether the estimator's f1 is the part's highest (the first of
+    the catalogue among equals)."""
+    chosen = stored(chosen)
+    used = chosen.select(F.explode("genes").alias("feature")).distinct()
+    obs = obs.join(used, "feature", "left_semi")
+    inside = inner_splits(obs, ranks, config.final_splits).withColumn("part", F.lit("cv"))
+    outside = folds(obs, ranks.outer_folds).select("sample_id", "fold", F.lit(0).alias("split"), F.col("outer").alias("is_test"), F.lit("test").alias("part"))
+    keys = ("part", "fold", "split")
+    of = ("part", "estimator", "fold", "split")
+    sums = evaluate.loss_sums(evaluate.estimator_distances(obs, inside.unionByName(outside), keys), chosen, of, ("fold",))
+    sums = stored(sums)
+    by = (*of, "sig_id")
+    plain = evaluate.metrics(evaluate.confusion(evaluate.nearest(sums, by), by), by)
+    each = plain.join(evaluate.probability_metrics(evaluate.probabilities(sums, by), by), list(by))
+    names = [c for c in each.columns if c not in by]
+    means = each.groupBy("fold", "sig_id", "estimator", "part").agg(*[F.avg(c).alias(c) for c in names])
+    place = F.array_position(F.array(*map(F.lit, evaluate.ESTIMATORS)), F.col("estimator"))
+    order = Window.partitionBy("fold", "sig_id", "part").orderBy(F.round("f1", 9).desc(), place)
+    return means.withColumn("best", F.row_number().over(order) == 1)
+
+
+def outer_scores(obs: DataFrame, chosen: DataFrame, ranks: RankConfig = RankConfig(), oversample: bool = False) -> DataFrame:
+    """fold, sig_id, score: accuracy of each chosen signature on its fold's test samples; ``oversample`` balances the training rows."""
     splits = folds(obs, ranks.outer_folds).withColumnRenamed("outer", "is_test")
-    d = evaluate.feature_distances(obs, splits, ("fold",))
+    extra = resample.smote_by_fold(obs.join(splits, "sample_id").where("not is_test"), list(range(ranks.outer_folds))) if oversample else None
+    d = evaluate.feature_distances(obs, splits, ("fold",), extra)
     return evaluate.accuracy(evaluate.predict(d, chosen, ("fold",), ("fold",)), ("fold", "sig_id"))
 
 
 def double_cross_validation(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
     """fold, mean, std, n of the outer scores of each fold's best signatures, and the row of all folds."""
     _, scored = search(obs, config, ranks)
-    return signatures.double_cv(outer_scores(obs, signatures.best(scored), ranks))
+    return signatures.double_cv(outer_scores(obs, stored(signatures.best(scored)), ranks))
+
+
+def double_cross_validation_oversampled(obs: DataFrame, chosen: DataFrame, ranks: RankConfig = RankConfig()) -> DataFrame:
+    """``double_cross_validation`` of chosen signatures, with mean_smote and std_smote of scores with balanced training rows."""
+    chosen = stored(chosen)
+    plain = signatures.double_cv(outer_scores(obs, chosen, ranks))
+    even = signatures.double_cv(outer_scores(obs, chosen, ranks, oversample=True))
+    return plain.join(even.select("fold", F.col("mean").alias("mean_smote"), F.col("std").alias("std_smote")), "fold")

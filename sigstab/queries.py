@@ -358,7 +358,7 @@ def half_sql(of: str, absent: str) -> str:
 
 @query(half_sql("nf // 2", "0"))
 def stability_top_half(spark, sf_dir):
-    return rounded(ranking.top_half(ranked_of(spark, sf_dir), F.floor(ranking.features_in_fold() / 2), 0.0), "half")
+    return rounded(ranking.top_half(ranked_of(spark, sf_dir), F.floor(F.col("features") / 2), 0.0), "half")
 
 
 @query(half_sql("2", "-0.1"))
