@@ -157,7 +157,7 @@ def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig
 def outer_scores(obs: DataFrame, chosen: DataFrame, ranks: RankConfig = RankConfig(), oversample: bool = False) -> DataFrame:
     """fold, sig_id, score: accuracy of each chosen signature on its fold's test samples; ``oversample`` balances the training rows."""
     splits = folds(obs, ranks.outer_folds).withColumnRenamed("outer", "is_test")
-    extra = resample.smote_by_fold(obs.join(splits, "sample_id").where("not is_test"), list(range(ranks.outer_folds))) if oversample else None
+    extra = stored(resample.smote_by_fold(stored(obs.join(splits, "sample_id").where("not is_test")), list(range(ranks.outer_folds)))) if oversample else None
     d = evaluate.feature_distances(obs, splits, ("fold",), extra)
     return evaluate.accuracy(evaluate.predict(d, chosen, ("fold",), ("fold",)), ("fold", "sig_id"))
 
