@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, minhash, mixing, packing, pii, quality, repair, rules, simhash, tokens, topk, toxicity
+from . import divergence, html, minhash, mixing, packing, pii, quality, repair, rules, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -57,8 +57,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_quality, op5_pii, op6_simhash, op7_html_text, op8_exact_topk, op9_mixing, op10_token_counts, op11_minhash, op12_conversation_repair)
+    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_quality, op5_pii, op6_simhash, op7_html_text, op8_exact_topk, op9_mixing, op10_token_counts, op11_minhash, op12_conversation_repair, op13_source_divergence)
 }
-ORACLE_SQL = {"op1_quality_rules": rules.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL, "op11_minhash": minhash.ORACLE_SQL}
+ORACLE_SQL = {"op1_quality_rules": rules.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL, "op11_minhash": minhash.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
