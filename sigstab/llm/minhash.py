@@ -5,16 +5,11 @@ the second, π, is a bijection of the ring, and coordinate k is the least π(pla
 is shifted around the ring by k and no further hash function is drawn. BANDS bands of ROWS coordinates share a bucket
 at similarity 0.85 with a probability of 1 - (1 - 0.85^5)^24, which misses one pair in a million.
 
-Documents with the same set are one class. Links are looked for between classes only, in three steps, each of which
-leaves out what the links so far have already brought together:
-
-1. each class against the smallest class of each of its buckets;
-2. in buckets that still hold several components, each class outside the bucket's largest component against the one
-   whose signature agrees most, in units of bounded size;
-3. every other pair of different components in those buckets whose signatures agree in AGREE coordinates at least.
-
-Every candidate is confirmed on the full sets of 64-bit shingle hashes. So no bucket is turned into a list of its
-pairs, no partner is capped, and the components are those of all links.
+Documents with the same set are one class. Links are looked for between classes only, first of each class with the
+smallest class of each of its buckets. In buckets that still hold several components then, whole sets of the classes
+outside the largest component are compared with those of all others, in units of bounded size that give a spanning
+forest of their links. So no bucket is turned into a list of its pairs, no partner is capped, every link is confirmed on
+the full sets of 64-bit shingle hashes, and the components are those of all links of classes that share a bucket.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; component_id is the smallest
 id that is reachable, nulls ignored (null if all ids of a component are null; a null id alone is kept); repeated rows
@@ -23,6 +18,8 @@ stay repeated; rows with the same id but other texts are documents of their own;
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -35,10 +32,8 @@ from .simhash import components
 SHINGLE, SEED, PERCENT = 5, 42, 85
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-#: Coordinates that agree at least, for a pair to be confirmed in the third step: 5 standard deviations under 0.85.
-AGREE = 82
-#: Classes of a bucket that one unit of work compares with so many others; rows of a task, about.
-UNIT, CELL = 2048, 40_000
+#: Shingles of the sets of one side of a unit, and of a task, about.
+UNIT, CELL = 1_000_000, 4_000_000
 #: Classes whose keys may be broadcast to the scan of the texts, at 24 bytes a row; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Shingles that are hashed, or shifted around the ring, at once.
@@ -143,50 +138,68 @@ def _fit(n: str, m: str, percent: int) -> Column:
 
 
 def _open(buckets: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: band, key, cls, n, root, main (the root of the most of them)."""
+    """Members of buckets that hold several components: band, key, cls, root, main (the root of the most shingles), and
+    in how many chunks the bucket's members (targets) and those outside its main component (probes) are dealt."""
     rows = buckets.where("many > 2").select("band", "key", "cls", "n").join(rooted, "cls")
-    parts = rows.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("part"))
-    state = parts.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("roots"), F.sum("part").alias("many"), F.max("part").alias("most"), F.max_by("root", F.struct("part", "root")).alias("main")
-    )
-    return rows.join(state.where("roots > 1"), ["band", "key"])
+    parts = rows.groupBy("band", "key", "root").agg(F.sum("n").alias("part"))
+    state = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.sum("part").alias("all"), F.max(F.struct("part", "root")).alias("top")).where("roots > 1")
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / UNIT))
+    state = state.select("band", "key", F.col("top.root").alias("main"), chunks(F.col("all")).alias("targets"), chunks(F.col("all") - F.col("top.part")).alias("probes"))
+    return rows.join(state, ["band", "key"])
 
 
-def _across(members: DataFrame, sigs: DataFrame, percent: int, best: bool) -> DataFrame:
-    """a, b: pairs of different components in open buckets whose signatures agree in AGREE coordinates at least.
+def _inside(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components inside open buckets, a spanning forest of those of a unit.
 
-    A bucket's members outside its largest component are probes, and all its members are targets; both are dealt into
-    chunks of UNIT, and each pair of chunks is a unit. Several units share a task. ``best``: of each probe and unit only
-    the target that agrees most.
+    A bucket's members outside its main component are probes, and all its members are targets; both are dealt into
+    chunks of about UNIT shingles, and each pair of chunks is a unit, which compares whole sets. Several units share a task.
     """
-    seed = lambda k: F.pmod(F.xxhash64(F.lit(k), "cls"), F.col("targets" if k else "probes"))
-    rows = members.join(sigs, "cls").withColumns({
-        "targets": F.ceil(F.col("many") / UNIT), "probes": F.greatest(F.lit(1), F.ceil((F.col("many") - F.col("most")) / UNIT)),
-    })
-    to = rows.select("band", "key", "cls", "n", "root", "sig", F.lit(False).alias("probe"), seed(1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("p"))
-    out = rows.where("root <> main").select("band", "key", "cls", "n", "root", "sig", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("targets") - 1)).alias("t"), seed(0).alias("p"))
-    units = to.unionByName(out).withColumn("unit", F.xxhash64("band", "key", "t", "p"))
-    cells = max(1, members.count() // CELL)
+    mine = lambda k: F.pmod(F.xxhash64(F.lit(k), "cls"), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    to = members.select("band", "key", "cls", "n", "root", F.lit(False).alias("probe"), mine("targets").alias("t"), every("probes").alias("p"))
+    out = members.where("root <> main").select("band", "key", "cls", "n", "root", F.lit(True).alias("probe"), mine("probes").alias("p"), every("targets").alias("t"))
+    units = to.unionByName(out).select("cls", "root", "probe", F.xxhash64("band", "key", "t", "p").alias("unit"))
+    mass = members.agg(F.sum("n")).first()[0] or 0
+    cells = max(1, math.ceil(mass / CELL))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["unit", "probe"], kind="stable")
-        unit, probe = pdf["unit"].to_numpy(), pdf["probe"].to_numpy(bool)
-        cls, n, root = (pdf[c].to_numpy(np.int64) for c in ("cls", "n", "root"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), COORDINATES)
+        unit, probe, cls, root = (pdf[c].to_numpy() for c in ("unit", "probe", "cls", "root"))
+        hashes = pdf["hashes"].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
-        found = []
+        found: list[tuple[int, int]] = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             first = lo + int(np.searchsorted(probe[lo:hi], True))
-            for i in range(first, hi):
-                j = np.flatnonzero((root[lo:first] != root[i]) & (100 * np.minimum(n[lo:first], n[i]) >= percent * np.maximum(n[lo:first], n[i]))) + lo
-                agree = (sig[j] == sig[i]).sum(axis=1)
-                j = j[agree >= AGREE] if not best else j[[agree.argmax()]] if len(j) and agree.max() >= AGREE else j[:0]
-                found.append(np.stack([np.full(len(j), cls[i]), cls[j]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    pairs = units.withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells))).groupBy("cell").applyInPandas(walk, "a long, b long")
-    return _ordered(pairs)
+            if lo < first < hi:
+                found += [(int(cls[a]), int(cls[b])) for a, b in _forest(hashes[lo:hi], first - lo, root[lo:hi], percent) + lo]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    rows = units.join(sets, "cls").withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
+    return rows.groupBy("cell").applyInPandas(walk, "a long, b long")
+
+
+def _forest(hashes: np.ndarray, first: int, root: np.ndarray, percent: int) -> np.ndarray:
+    """Links of the sets from ``first`` on with those before, one for each two components that they join."""
+    sizes = np.array([len(h) for h in hashes])
+    ids = np.unique(np.concatenate(list(hashes)), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    flat, begins = ids[: ends[first - 1]], (ends - sizes)[:first]
+    label = np.unique(root, return_inverse=True)[1]
+    mark = np.zeros(ids.max() + 1, np.int64)
+    found = []
+    for i in range(first, len(hashes)):
+        others = label[:first] != label[i]
+        if not others.any():
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], begins)
+        mark[own] = 0
+        near = np.flatnonzero(others & (100 * common >= percent * (sizes[:first] + sizes[i] - common)))
+        for j in near[np.unique(label[near], return_index=True)[1]]:
+            found.append((i, j))
+            label[label == label[j]] = label[i]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -216,16 +229,9 @@ def _roots(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, perc
     tried = checkpointed(_ordered(tried.select(F.col("cls").alias("a"), F.col("least").alias("b"))))
     links = checkpointed(_confirmed(tried, sets, percent))
     roots = components(links)
-    for best in (True, False):
-        rooted = members.join(roots, members["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"))
-        still = checkpointed(_open(buckets, rooted))
-        pairs = checkpointed(_across(still, classes.select("cls", "sig"), percent, best).join(tried, ["a", "b"], "left_anti"))
-        more = checkpointed(_confirmed(pairs, sets, percent))
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-        tried = tried.union(pairs)
-    return roots
+    rooted = members.join(roots, members["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    more = checkpointed(_inside(checkpointed(_open(buckets, rooted)), sets, percent))
+    return roots if more.isEmpty() else components(links.union(more))
 
 
 ORACLE_SQL = r"""

@@ -53,10 +53,11 @@ def edited(rng, words, share):
     return [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("unit", [minhash.UNIT, 8])
+@pytest.mark.parametrize("unit", [minhash.UNIT, 500])
 def test_families_of_all_similarities(spark, monkeypatch, unit):
     """One large family with many members that aren't linked with its leader, chains, and families just below the limit."""
     monkeypatch.setattr(minhash, "UNIT", unit)
+    monkeypatch.setattr(minhash, "CELL", 4 * unit)
     rng, texts = random.Random(5), []
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     for _ in range(150):
