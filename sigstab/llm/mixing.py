@@ -186,15 +186,18 @@ def decide(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFra
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The mix itself: a row for each copy taken, with the columns of ``docs``, dealt to shards and shuffled inside them.
 
-    A source's last document is cut to the words that its target still asks for.
+    A source's last document is cut to the words that its target still asks for. A row travels as one struct, so its
+    columns may have any name and come back as they were.
     """
     narrow = checkpointed(with_sizes(docs.select(id_col, "source", "text"), id_col, seed).select("source", "size", "h"))
-    rows = taken(narrow, seed, with_sizes(docs, id_col, seed)).select("*", F.explode("draws").alias("d"))
-    parts = F.regexp_extract_all(text_of(F.col("text")), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    cut = F.when(F.col("d.taken") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(parts, 1, F.col("d.taken").cast("int")), ""))
+    whole = with_sizes(docs.select(F.col(id_col).alias("id"), "source", "text", F.struct("*").alias("row")), "id", seed)
+    rows = taken(narrow, seed, whole.select("source", "size", "h", "row")).select("row", "size", "h", F.explode("draws").alias("d"))
+    parts = F.regexp_extract_all(text_of(F.col("row.text")), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    cut = F.when(F.col("d.taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(parts, 1, F.col("d.taken").cast("int")), ""))
     place = F.xxhash64(F.lit(seed), F.lit("shuffle"), "d.shard", "d.copy", "h")
-    out = rows.withColumn("text", cut).withColumn("_shard", F.col("d.shard")).withColumn("_place", place)
+    out = rows.select("row", cut.alias("cut"), F.col("d.shard").alias("shard"), place.alias("place"))
+    out = out.repartition(F.col("shard"), F.shiftrightunsigned("place", 64 - PIECE_BITS)).sortWithinPartitions("shard", "place")
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    piece = F.shiftrightunsigned("_place", 64 - PIECE_BITS)
-    return out.repartition(F.col("_shard"), piece).sortWithinPartitions("_shard", "_place").select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -397,7 +397,8 @@ BLOCK = 4096
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with every span replaced by its kind in angle brackets; n_chars, if there, is counted anew.
 
-    Of spans that overlap, the first (of one start, the longest) gives its kind, and all their characters go.
+    Of spans that overlap, the first (of one start, the longest) gives its kind, and all their characters go. A row
+    travels as one struct, so its columns may have any name.
     """
     by_place = lambda spans: F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
@@ -423,8 +424,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return _let(by_place(x["spans"]), lambda p: F.when(F.size(p) > 0, some(p)))
 
-    df = with_spans(docs, text_col).withColumn("_new", _let(F.struct(F.col(text_col).alias("t"), F.col("spans").alias("spans")), replaced))
-    df = df.withColumn(text_col, F.coalesce("_new", F.col(text_col)))
+    packed = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    df = with_spans(packed).withColumn("_new", _let(F.struct(F.col("text").alias("t"), F.col("spans").alias("spans")), replaced))
+    new = {text_col: F.coalesce("_new", "text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

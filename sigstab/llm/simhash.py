@@ -205,11 +205,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays, whole: one whose id is the component's smallest (with rows alike, any of them)."""
-    mark = F.xxhash64(text_of(F.col(text_col)))
-    prints = checkpointed(fingerprints(docs.withColumn("_mark", mark), (id_col, "_mark"), text_col))
-    best = prints.join(_rooted(prints, id_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = best.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("_mark").alias("m"))).alias("k")).select("k.*").distinct()
-    rows = docs.withColumn("_mark", mark).join(stay, F.col(id_col).eqNullSafe(F.col("i")) & (F.col("_mark") == F.col("m")), "left_semi")
-    one = Window.partitionBy(F.col(id_col), F.col("_mark")).orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    """One row of each component stays, whole: one whose id is the component's smallest (with rows alike, any of them).
+
+    A row travels as one struct, so its columns may have any name.
+    """
+    packed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(F.col(text_col))).alias("mark"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    prints = checkpointed(fingerprints(packed, ("id", "mark"), "text"))
+    best = prints.join(_rooted(prints, "id"), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    stay = best.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.col("k.id").alias("i"), F.col("k.mark").alias("m")).distinct()
+    rows = packed.select("id", "mark", "row").join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi")
+    one = Window.partitionBy("id", "mark").orderBy(F.lit(0))
+    return rows.withColumn("number", F.row_number().over(one)).where("number = 1").select("row.*")
