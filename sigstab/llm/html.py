@@ -3,7 +3,10 @@
 The standard library's HTML parser streams events. Text is gathered into lines, which end at block-level tags. A line's
 ratio is its characters outside links over the tags met since the line before. Names weigh in by a factor only: a line
 inside an element that is boilerplate by its name or class (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) has NAMED times less, one inside an article or main element ARTICLE times more.
+reader comments) has NAMED times less, one inside an article or main element ARTICLE times more. A named element that
+holds WRAPS of the text that no whole name marks, and at least FLOOR characters, is a wrapper of the page's content and
+not boilerplate, unless the page has an article outside: ``no-sidebar`` or ``tag-news`` say nothing then. Where nothing
+else is left, that goes for an element with a whole name (``sidebar``) too.
 
 Per page, and on every page, the ratios are smoothed over neighbouring lines with a Gaussian, and the logarithms of the
 smoothed ratios are split in two clusters by an exact one-dimensional two-means; a split whose clusters lie not clearly
@@ -15,7 +18,8 @@ whole, short lines too; a region that is no article loses lines that are mostly
 trimmed to its first and last core line.
 
 Defined results: null and empty pages, and pages without text, give the empty string; unknown marked sections
-(``<![``) are comments up to the next ``>``, an unclosed comment or start tag ends with the page; misnested and unclosed tags cost no
+(``<![``) are comments up to the next ``>``; an unclosed comment, declaration, processing instruction, start tag or
+attribute ends with the page; misnested and unclosed tags cost no
 more than others. Rows are never merged or dropped.
 """
 
@@ -50,9 +54,14 @@ MARKS = re.compile(
     re.I,
 )
 ARTICLE_MARKS = re.compile(r"(?:^|\s)(?:comments?|repl(?:y|ies)|(?:comment|reply)[_-]\S*|ads?|adverts?|advertisement|sponsored|promo)(?:$|\s)", re.I)
+#: A whole name of MARKS.
+WHOLE = re.compile(rf"(?:^|\s){MARKS.pattern.split(')', 1)[1].rsplit('(?:$', 1)[0]}(?:$|\s)", re.I)
+#: How surely a name marks boilerplate: by a part of a name, by a whole name, by the element itself.
+PART, NAME, ELEMENT = range(3)
 SPACE = re.compile(r"\s+")
 SIGMA, RADIUS = 1.0, 2
 NAMED, ARTICLE, APART, FACTOR, SHARE = 16.0, 4.0, 0.8, 1.1, 0.6
+WRAPS, FLOOR = 0.8, 200
 
 
 class _Lines(HTMLParser):
@@ -75,15 +84,20 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.hidden = self.links = 0
 
+    def _ended(self, end: int) -> int:
+        return end if end >= 0 else len(self.rawdata)
+
     def parse_html_declaration(self, i: int) -> int:
-        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+        return self._ended(self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i))
 
     def parse_comment(self, i: int, report: bool = True) -> int:
-        end = super().parse_comment(i, report)
-        return end if end >= 0 else len(self.rawdata)
+        return self._ended(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._ended(super().parse_pi(i))
 
     def parse_starttag(self, i: int) -> int:
-        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+        return self._ended(super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else -1)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
@@ -92,14 +106,19 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.text, self.linked = [], 0
 
-    def _marked(self, tag: str, attrs: list) -> bool:
+    def _marked(self, tag: str, attrs: list) -> int | None:
+        """How surely the element is boilerplate by its name; None: not at all."""
         in_article = self.nodes[self.node][2] >= 0
         if tag in BOILER and not (tag == "header" and in_article):  # an article's own header may hold its headline
-            return True
+            return ELEMENT
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            return True
-        pattern = ARTICLE_MARKS if tag in ARTICLES else MARKS
-        return tag == "form" or tag not in ("html", "body") and any(k in ("class", "id", "role") and v and pattern.search(v) for k, v in attrs)
+            return ELEMENT
+        names = [] if tag in ("html", "body") else [v for k, v in attrs if k in ("class", "id", "role") and v]
+        if tag in ARTICLES:
+            return NAME if any(map(ARTICLE_MARKS.search, names)) else None
+        if any(map(WHOLE.search, names)):
+            return NAME
+        return PART if tag == "form" or any(map(MARKS.search, names)) else None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -114,10 +133,10 @@ class _Lines(HTMLParser):
         elif tag in ITEM:
             self._close(tag, self.lists_at)
         before = (self.mark, self.node)
-        marked = self._marked(tag, attrs)
-        if marked:
+        sure = self._marked(tag, attrs)
+        if sure is not None:
             # a wrapper of a whole page: a form around a main or article element, or any marked element around main
-            self.marks.append([self.mark, tag, tag not in BOILER])
+            self.marks.append([self.mark, tag, tag not in BOILER, sure])
             self.mark = len(self.marks) - 1
         elif tag in ARTICLES:
             k = self.mark
@@ -125,7 +144,7 @@ class _Lines(HTMLParser):
                 self.marks[k][1], k = "", self.marks[k][0]
         if tag in CONTAINER:
             article = self.nodes[self.node][2]
-            if article < 0 and tag in ARTICLES and not marked:
+            if article < 0 and tag in ARTICLES and sure is None:
                 article = len(self.nodes)
             self.nodes.append((self.node, tag, article))
             self.node = len(self.nodes) - 1
@@ -191,11 +210,36 @@ class _Lines(HTMLParser):
 
     def marked(self) -> np.ndarray:
         """Which lines lie in marked elements that are no wrappers."""
-        real = np.zeros(len(self.marks) + 1, bool)  # the last is that of mark -1
-        for k, (parent, tag, _) in enumerate(self.marks):
-            real[k] = tag != "" or real[parent]
+        own = [len(text) - linked for text, _, linked, _, _ in self.lines]
+        real = self._real()
+        if not any(n and not real[m] and self.nodes[node][2] >= 0 for n, (*_, m, node) in zip(own, self.lines, strict=True)):
+            for sure in (PART, NAME):
+                self._unwrap(own, sure)
+                real = self._real()
+                if not real[[line[3] for line in self.lines]].all():
+                    break
         return real[[line[3] for line in self.lines]]
 
+    def _real(self, least: int = PART) -> np.ndarray:
+        """By mark: whether it, or one around it, marks boilerplate at least so surely; the last is that of mark -1."""
+        real = np.zeros(len(self.marks) + 1, bool)
+        for k, (parent, tag, _, sure) in enumerate(self.marks):
+            real[k] = tag != "" and sure >= least or real[parent]
+        return real
+
+    def _unwrap(self, own: list[int], most: int) -> None:
+        """Let the marks that are no surer than ``most`` go, if they hold nearly all the text that surer ones don't hold."""
+        surer = self._real(most + 1)
+        held = np.zeros(len(self.marks) + 1)
+        for n, line in zip(own, self.lines, strict=True):
+            held[line[3]] += 0 if surer[line[3]] else n
+        whole = held.sum()
+        for k in range(len(self.marks) - 1, -1, -1):
+            if self.marks[k][0] >= 0:
+                held[self.marks[k][0]] += held[k]
+            if held[k] >= FLOOR and held[k] >= WRAPS * whole and self.marks[k][3] <= most:
+                self.marks[k][1] = ""
+
 
 def parse(html: str) -> _Lines:
     parser = _Lines()

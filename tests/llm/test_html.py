@@ -104,3 +104,45 @@ def test_upper_cluster():
     assert html.upper_cluster(np.array([0.1, 5.0, 0.2, 5.2])).tolist() == [False, True, False, True]
     assert html.upper_cluster(np.array([4.0, 4.5, 5.0, 5.5])).all()
     assert html.upper_cluster(np.array([3.0])).all()
+
+
+NAMES = "no-sidebar has-sidebar tag-news search-result-page share-wrap modal-open with-header sidebar-none page-with-menu".split()
+BODY = "".join(f"<p>Sentence number {k} of the main text is long enough to tell it from links and other small things, and goes on.</p>" for k in range(16))
+LINES = "\n".join(re.findall("<p>(.*?)</p>", BODY))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_around_the_content_takes_nothing_away(name):
+    around = "<nav><a href=#>Home</a></nav><div class='site-footer'>about us</div><div class=ad>Buy this now</div>"
+    assert html.main_text(f"<body><div class='{name}'>{BODY}</div></body>") == LINES
+    assert html.main_text(f"<body><div class='{name}'><div id='{name}'>{BODY}</div></div>{around}</body>") == LINES
+    assert html.main_text(f"<body class='{name}'><form class='{name}'>{around}{BODY}</form></body>") == LINES
+    assert html.main_text(f"<div class='{name}'><article>{BODY}</article><div class=comments>{BODY}</div></div>{around}") == LINES
+
+
+def test_named_boilerplate_beside_content_stays_away():
+    extra = "".join(f"<p>Comment number {k} of many on this page, and as long as a sentence of the text is.</p>" for k in range(4))
+    for name in ("comment-list", "site-footer", "cookie-banner", "related-posts", "comments", "sidebar"):
+        assert html.main_text(f"<body><div class='{name}'>{extra}</div><div>{BODY}</div></body>") == LINES
+        assert html.main_text(f"<body><article>{BODY}</article><div class='{name}'>{extra * 30}</div></body>") == LINES
+    assert html.main_text("<div class='cookie-notice'>We use cookies to make this page work.</div>") == ""
+    assert html.main_text(f"<div class=sidebar>{BODY}</div>") == LINES
+
+
+def test_unclosed_declarations_and_attributes_leave_no_markup():
+    assert html.main_text("<p>kept</p><!DOCTYPE foo [ lost") == "kept"
+    assert html.main_text("<p>kept</p><?php echo 1 lost") == "kept"
+    assert html.main_text('<p>kept</p><a href="x>y</a> lost') == "kept"
+
+
+def test_whole_table_without_names(spark, small):
+    """Without article, nav, footer and class names, the clusters keep nearly all of the text, and little else."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/../sf0.01/pages.parquet").collect()]
+    kept = lost = more = 0
+    for page in pages:
+        want = by_hand(page).split("\n")
+        got = html.main_text(re.sub("(</?)(?:article|nav|footer)>", r"\1div>", re.sub(' class="[^"]*"', "", page))).split("\n")
+        kept += sum(len(x) for x in want if x in got)
+        lost += sum(len(x) for x in want if x not in got)
+        more += sum(len(x) for x in got if x not in want)
+    assert kept > 0.95 * (kept + lost) and more < 0.05 * kept, (kept, lost, more)
