@@ -184,3 +184,12 @@ def final_evaluation(spark, sf_dir):
 def double_cross_validation_oversampled(spark, sf_dir):
     chosen = signatures.best(searched(spark, sf_dir)[1])
     return rounded(plan.double_cross_validation_oversampled(emb(spark, sf_dir), chosen, RANKS), "mean", "std", "mean_smote", "std_smote")
+
+
+# Rankings of all types
+
+
+@query()
+def rank_scores_all_types(spark, sf_dir):
+    """fold, method, feature, score, pos of every ranking: sums, linear estimators and trees, in each outer fold."""
+    return rounded(plan.rank(emb(spark, sf_dir), plan.RankConfig(fitted=True)), "score")

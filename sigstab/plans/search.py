@@ -8,30 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evaluate, ranking, resample, signatures, stats
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder of the session: later stages join such small tables several times, and
-    would otherwise repeat their whole plan at each place."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints")
-    return df.checkpoint()
+from ..functions.storage import stored
+from ..operators import evaluate, forest, linear, ranking, resample, signatures, stats
 
 
 @dataclass(frozen=True)
 class RankConfig:
-    """Settings of the ranking stage; ``p_value`` None ranks all features ("no filter")."""
+    """Settings of the ranking stage; ``p_value`` None ranks all features ("no filter").
+
+    ``fitted`` adds the rankings of fitted estimators (linear ones and trees) to those that need sums only.
+    """
 
     outer_folds: int = 4
     p_value: float | None = 0.5
     fdr: float | None = None
     least_features: int = 4
     correlation_cut: float | None = None
+    fitted: bool = False
+    inner_parts: int = 3
+    subsamples: int = 8
+    trees: int = forest.TREES
 
 
 @dataclass(frozen=True)
@@ -67,9 +63,13 @@ def train_rows(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
 
 
 def rank(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
-    """fold, method, feature, score, pos. The training rows are cached, since each method scans them; the small result is stored."""
-    rows = train_rows(obs, config).cache()
-    out = stored(ranking.positions(ranking.normalise(ranking.score(rows))))
+    """fold, method, feature, score, pos. The training rows are cached or stored, since each method scans them; the small result is stored."""
+    rows = stored(train_rows(obs, config)) if config.fitted else train_rows(obs, config).cache()
+    scores = ranking.score(rows)
+    if config.fitted:
+        scores = scores.unionByName(linear.rank(rows, config.inner_parts, config.subsamples))
+        scores = scores.unionByName(forest.rank(rows, config.inner_parts, config.subsamples, config.trees))
+    out = stored(ranking.positions(ranking.normalise(scores)))
     rows.unpersist()
     return out
 
