@@ -6,6 +6,10 @@ sums over its features. Distances are rounded to nine digits, and ties go to the
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +71,83 @@ def loss_sums(d: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("spl
     return d.join(genes, [*on, "feature"]).groupBy(*keys, "sig_id", "sample_id", "y", "c").agg(F.sum("d").alias("d"))
 
 
+#: Test samples and signatures of a unit of work, about.
+SAMPLES, SIGNATURES = 1024, 4096
+
+
+def trie_confusion(d: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = (), blocks: int = 1, units: DataFrame | None = None) -> DataFrame:
+    """keys, sig_id, y_true, y_pred, n: what ``predict`` gives, counted, without a row for each signature, feature and sample.
+
+    A unit has a block of the test samples of one split and a chunk of the signatures, which share their first features.
+    It walks the signatures as a trie over their features: a node adds its feature's losses of all samples to those of
+    its parent, so a beginning that signatures share is added up once. ``blocks`` deals each split's samples by hash;
+    ``units`` has the keys that occur, if they are known without a look at ``d``.
+    """
+    rows = signatures.select(*on, "sig_id", "genes")
+    chunks = max(1, math.ceil((rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0) / SIGNATURES))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.element_at("genes", 1)), F.lit(chunks)).cast("int"))
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("_block")
+    losses = d.select(*keys, "sample_id", "y", "feature", "c", "d", block, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    units = (d if units is None else units).select(*[F.col(k).alias(k) for k in keys]).distinct()
+    each = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = units.join(each, list(on)) if on else units.crossJoin(each)
+    of = [*keys, "_block", "_chunk"]
+    kinds = {f.name: f.dataType.simpleString() for f in losses.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sig_id string, y_true int, y_pred int, n long"
+
+    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_walk(left, right), columns=["sig_id", "y_true", "y_pred", "n"]) if len(left) and len(right) else pd.DataFrame(columns=["sig_id", "y_true", "y_pred", "n"])
+        for k, v in zip(keys, key, strict=False):
+            out[k] = v
+        return out[[*keys, "sig_id", "y_true", "y_pred", "n"]]
+
+    counts = losses.groupBy(*of).cogroup(units.groupBy(*of)).applyInPandas(walk, schema)
+    return counts.groupBy(*keys, "sig_id", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+
+
+def _walk(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
+    """(sig_id, y_true, y_pred, n) of the signatures of a chunk for the losses of a block of samples."""
+    samples, at = np.unique(left["sample_id"], return_inverse=True)
+    classes, c = np.unique(left["c"], return_inverse=True)
+    features, f = np.unique(left["feature"], return_inverse=True)
+    loss = np.zeros((len(features), len(samples), len(classes)))
+    known = np.zeros(loss.shape, bool)
+    np.add.at(loss, (f, at, c), left["d"].fillna(0).to_numpy())
+    known[f, at, c] = True
+    truth = np.zeros(len(samples), int)
+    truth[at] = left["y"]
+    place = {name: k for k, name in enumerate(features)}
+    width = int(classes.max()) + 1
+    path: list[int] = []
+    sums: list[tuple[np.ndarray, np.ndarray]] = []
+    out = []
+    genes = [(tuple(place[g] for g in some if g in place), name) for some, name in zip(right["genes"], right["sig_id"], strict=True)]
+    for some, name in sorted(genes):
+        if not some:
+            continue
+        k = 0
+        while k < min(len(path), len(some)) and path[k] == some[k]:
+            k += 1
+        del path[k:], sums[k:]
+        for j in some[k:]:
+            before = sums[-1] if sums else (0.0, False)
+            path.append(j)
+            sums.append((before[0] + loss[j], before[1] | known[j]))
+        total, seen = sums[-1]
+        some_class = seen.any(axis=1)
+        pred = classes[np.where(seen, np.round(total, 9), np.inf).argmin(axis=1)]
+        count = np.bincount((truth * width + pred)[some_class])
+        out += [(name, int(x // width), int(x % width), int(count[x])) for x in np.flatnonzero(count)]
+    return out
+
+
+def counted_summary(counts: DataFrame, keys: tuple[str, ...], split: str = "split") -> DataFrame:
+    """``cv_summary`` of counted predictions."""
+    hit = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
+    each = counts.groupBy(*keys, split).agg((hit / F.sum("n")).alias("score"))
+    return each.groupBy(*keys).agg(F.bround(F.avg("score"), 3).alias("cv_mean"), F.bround(F.stddev_pop("score"), 3).alias("cv_std"))
+
+
 def predict_all(d: DataFrame, keys: tuple[str, ...] = ("split",)) -> DataFrame:
     """Predictions with all features."""
     return nearest(d.groupBy(*keys, "sample_id", "y", "c").agg(F.sum("d").alias("d")), keys)

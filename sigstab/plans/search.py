@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -82,6 +83,11 @@ def inner_splits(obs: DataFrame, ranks: RankConfig, k: int) -> DataFrame:
     return splits.select("sample_id", F.col("outer_fold").alias("fold"), "split", (F.col("part") == F.col("split")).alias("is_test"))
 
 
+def blocks_of(obs: DataFrame) -> int:
+    """In how many blocks a split's samples are scored."""
+    return max(1, math.ceil(obs.select("sample_id").distinct().count() / evaluate.SAMPLES))
+
+
 def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig(), ranked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates by method, signatures scored): fold, sig_id, genes, size, methods, cv_mean, cv_std, mean_freq, mean_p, adjusted."""
     ranked = rank(obs, ranks) if ranked is None else ranked
@@ -93,7 +99,7 @@ def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: R
     splits = inner_splits(obs, ranks, config.inner_splits)
     used = unique.select(F.explode("genes").alias("feature")).distinct()
     d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"))
-    scored = evaluate.cv_summary(evaluate.predict(d, unique, ("fold", "split"), ("fold",)), ("fold", "sig_id"))
+    scored = evaluate.counted_summary(evaluate.trie_confusion(d, unique, ("fold", "split"), ("fold",), blocks_of(obs), splits), ("fold", "sig_id"))
     freq = ranking.top_counts(ranked, config.top_frequency).join(ranked.groupBy("fold").agg(F.count_distinct("method").alias("m")), "fold").select("fold", "feature", (F.col("n") / F.col("m")).alias("freq"))
     train = obs.join(outer, "sample_id").where("not outer")
     full = signatures.with_means(unique, freq, stats.kruskal(train, ("fold",)))
@@ -102,9 +108,9 @@ def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: R
 
 def rescore(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig()) -> DataFrame:
     """``found`` with cv_mean and cv_std of k inner splits instead of its own, and adjusted from these."""
-    used = found.select(F.explode("genes").alias("feature")).distinct()
-    d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), inner_splits(obs, ranks, k), ("fold", "split"))
-    scores = evaluate.cv_summary(evaluate.predict(d, found, ("fold", "split"), ("fold",)), ("fold", "sig_id"))
+    used, splits = found.select(F.explode("genes").alias("feature")).distinct(), inner_splits(obs, ranks, k)
+    d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"))
+    scores = evaluate.counted_summary(evaluate.trie_confusion(d, found, ("fold", "split"), ("fold",), blocks_of(obs), splits), ("fold", "sig_id"))
     return signatures.adjusted(found.drop("cv_mean", "cv_std", "adjusted").join(scores, ["fold", "sig_id"]))
 
 
@@ -126,9 +132,11 @@ def with_correlates(obs: DataFrame, chosen: DataFrame, groups: DataFrame, config
 
 def estimator_scores(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig(), names: tuple[str, ...] = evaluate.ESTIMATORS) -> DataFrame:
     """fold, sig_id, estimator, cv_mean, cv_std of every estimator in k inner splits: one pass, with estimators as keys."""
-    used = found.select(F.explode("genes").alias("feature")).distinct()
-    d = evaluate.estimator_distances(obs.join(used, "feature", "left_semi"), inner_splits(obs, ranks, k), ("fold", "split"), names)
-    return evaluate.cv_summary(evaluate.predict(d, found, ("estimator", "fold", "split"), ("fold",)), ("fold", "sig_id", "estimator"))
+    used, splits = found.select(F.explode("genes").alias("feature")).distinct(), inner_splits(obs, ranks, k)
+    d = evaluate.estimator_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"), names)
+    units = splits.withColumn("estimator", F.explode(F.array(*map(F.lit, names))))
+    counts = evaluate.trie_confusion(d, found, ("estimator", "fold", "split"), ("fold",), blocks_of(obs), units)
+    return evaluate.counted_summary(counts, ("fold", "sig_id", "estimator"))
 
 
 def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
