@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,17 +21,60 @@ def two_sided_normal(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
-#: Most degrees of freedom that are summed as a series; above, the tail comes from the normal one.
-SERIES = 2000
+#: Most degrees of freedom that are summed as a series, and by a continued fraction; above, the tail comes from the normal one.
+SERIES, FRACTION = 60, 2000
 
 
 def two_sided_t(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) of Student's t with a whole number of degrees of freedom.
 
-    Up to SERIES degrees by the finite series of Abramowitz and Stegun 26.7.3-4, above by Hill's normal deviate
-    (algorithm 395), whose error is far below that of the normal tail there; so the terms are bounded at any df.
+    Up to SERIES degrees by the finite series of Abramowitz and Stegun 26.7.3-4, up to FRACTION by the continued fraction of
+    the incomplete beta function, above by Hill's normal deviate (algorithm 395), whose error is far below that of the
+    normal tail there; so the steps are bounded at any df.
+    """
+    small = _series(t, F.least(df, F.lit(SERIES)))
+    return F.when(df > FRACTION, _hill(t, df.cast("double"))).when(df > SERIES, _beta(t, df.cast("double"))).otherwise(small)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _beta(t: Column, df: Column) -> Column:
+    """The tail as I_x(df / 2, 1 / 2) at x = df / (df + t^2), for at least SERIES degrees of freedom.
+
+    The beta function comes from the asymptotic series of Gamma(a + 1/2) / Gamma(a); the fraction is taken on the side
+    where it converges fast.
     """
-    return F.when(df > SERIES, _hill(t, df.cast("double"))).otherwise(_series(t, F.least(df, F.lit(SERIES))))
+
+    def tail(v: Column) -> Column:
+        a, x = v["a"], v["x"]
+        ratio = F.sqrt(a) * (1 - 1 / (8 * a) + 1 / (128 * a * a) + 5 / (1024 * a**3) - 21 / (32768 * a**4) - 399 / (262144 * a**5))
+        front = F.exp(a * F.log(x) + 0.5 * F.log1p(-x)) * ratio / F.sqrt(F.lit(math.pi))
+        far = x < (a + 1) / (a + 2.5)
+        near = lambda y: _fraction(y["a"], y["b"], y["x"], y["n"])
+        side = lambda p, q, y: F.struct(p.alias("a"), q.alias("b"), y.alias("x"), v["n"].alias("n"))
+        half = F.lit(0.5)
+        return F.when(x >= 1, 1.0).when(far, front * _let(side(a, half, x), near) / a).otherwise(1 - front * _let(side(half, a, 1 - x), near) / 0.5)
+
+    return _let(F.struct((df / 2).alias("a"), (df / (df + t * t)).alias("x"), (30 + 2 * F.sqrt(df)).cast("int").alias("n")), tail)
+
+
+def _fraction(a: Column, b: Column, x: Column, n: Column) -> Column:
+    """The continued fraction of the incomplete beta function, n terms from the front (Lentz)."""
+
+    def step(s: Column, k: Column) -> Column:
+        m = F.floor(k / 2)
+        term = F.when(k % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+        def both(e: Column) -> Column:
+            return _let(F.struct((1 / (1 + e * s["d"])).alias("d"), (1 + e / s["c"]).alias("c")), lambda y: F.struct(y["d"], y["c"], (s["h"] * y["d"] * y["c"]).alias("h")))
+
+        return _let(term, both)
+
+    one = F.lit(1.0)
+    return 1 / F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0.0).alias("d"), one.alias("c"), one.alias("h")), step)["h"]
 
 
 def _hill(t: Column, df: Column) -> Column:

@@ -5,15 +5,20 @@ Features whose values are all equal get null statistics instead of an error. Two
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import two_sided_normal, two_sided_t
+from ..functions.storage import stored
 
 
 def class_log_ratio(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-7) -> DataFrame:
@@ -29,68 +34,73 @@ def class_log_ratio_two(obs: DataFrame, by: tuple[str, ...] = (), floor: float =
     return three.select(*by, "feature", "r01", (-F.col("r01")).alias("r10"))
 
 
-def _rows_before(values: DataFrame, keys: tuple[str, ...], amount: Column, cells: int) -> DataFrame:
+def _in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows, stored, with _cell: rows with smaller ``order`` have no larger cell, and cells hold about as many rows each.
+
+    Spark cuts the ranges at sampled quantiles of the order itself, so an outlier or a hot key only has more ranges.
+    """
+    return stored(df.repartitionByRange(*order).withColumn("_cell", F.spark_partition_id()))
+
+
+def _rows_before(values: DataFrame, keys: tuple[str, ...], amount: Column, wide: bool) -> DataFrame:
     """Add ``before``: the sum of ``amount`` over the smaller values of the same keys; values are distinct within keys.
 
-    With ``cells``, the range of each key's finite values is cut in so many equal cells: sums run within a cell, on top
-    of the sums of the cells below, so no task takes all values of a key. Without, keys are windows, for many small keys.
+    ``wide``: sums run within ranges of the values, on top of the sums of the ranges below, so no task takes all values of
+    a key. Without, keys are windows, for many small keys.
     """
     start = Window.unboundedPreceding
     v = values.withColumn("_amount", amount)
     running = lambda over, by: F.coalesce(F.sum("_amount").over(Window.partitionBy(*over).orderBy(by).rowsBetween(start, -1)), F.lit(0))
-    if not cells:
+    if not wide:
         return v.withColumn("before", running(keys, "value")).drop("_amount")
-    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
-    ends = v.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)).otherwise(0.0)
-    inside = F.least(F.lit(cells - 1), F.floor(share * cells))
-    cell = F.when(F.col("value").isNull(), -2).when(F.isnan("value"), cells + 1).when(F.col("value") == float("inf"), cells).when(F.col("value") == float("-inf"), -1).otherwise(inside)
-    v = v.join(ends, list(keys)).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    v = _in_ranges(v, *keys, "value")
     below = v.groupBy(*keys, "_cell").agg(F.sum("_amount").alias("_amount"))
     below = below.withColumn("_below", running(keys, "_cell")).drop("_amount")
-    v = v.join(below, [*keys, "_cell"]).withColumn("before", running((*keys, "_cell"), "value") + F.col("_below"))
+    same = [F.col(f"_v.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in (*keys, "_cell")]
+    v = v.alias("_v").join(below.alias("_b"), reduce(Column.__and__, same)).select("_v.*", "_b._below")
+    v = v.withColumn("before", running((*keys, "_cell"), "value") + F.col("_below"))
     return v.drop("_amount", "_cell", "_below")
 
 
-def average_ranks(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
-    """Add rank (from 1, ties averaged) and ties (rows with the value), within each feature; ``cells`` for features of very many rows."""
-    if not cells:
+def average_ranks(obs: DataFrame, by: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
+    """Add rank (from 1, ties averaged) and ties (rows with the value), within each feature; ``wide`` for features of very many rows."""
+    if not wide:
         whole, same = Window.partitionBy(*by, "feature"), Window.partitionBy(*by, "feature", "value")
         ties = F.count(F.lit(1)).over(same)
         return obs.withColumn("ties", ties).withColumn("rank", F.rank().over(whole.orderBy("value")) + (F.col("ties") - 1) / 2.0)
     keys = (*by, "feature")
-    values = _rows_before(obs.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties")), keys, F.col("ties"), cells)
+    values = _rows_before(obs.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties")), keys, F.col("ties"), wide)
     values = values.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2.0).drop("before")
     same = [F.col(f"_o.{k}").eqNullSafe(F.col(f"_v.{k}")) for k in (*keys, "value")]
     return obs.alias("_o").join(values.alias("_v"), reduce(Column.__and__, same)).select("_o.*", "_v.ties", "_v.rank")
 
 
-def _rank_sums(obs: DataFrame, by: tuple[str, ...], cells: int = 0) -> DataFrame:
+def _rank_sums(obs: DataFrame, by: tuple[str, ...], wide: bool = False) -> DataFrame:
     """n, s (rank sum) by class, and tied: the sum of t^3 - t, from counts of distinct values; rows meet once a value."""
     keys = (*by, "feature")
     values = obs.groupBy(*keys, "value").pivot("y", [0, 1, 2]).agg(F.count(F.lit(1))).na.fill(0, ["0", "1", "2"])
     t = F.col("0") + F.col("1") + F.col("2")
-    ranked = _rows_before(values, keys, t, cells).withColumn("t", t).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
+    ranked = _rows_before(values, keys, t, wide).withColumn("t", t).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
     sums = [F.sum(F.col(str(k)) * F.col("rank")).alias(f"s{k}") for k in range(3)] + [F.sum(str(k)).cast("double").alias(f"n{k}") for k in range(3)]
     t = F.col("t").cast("double")
     return ranked.groupBy(*keys).agg(*sums, F.sum(t * t * t - t).alias("tied")).withColumn("n", F.col("n0") + F.col("n1") + F.col("n2"))
 
 
-def kruskal(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
-    """h (corrected for ties) and p of three classes; ``cells`` for features of very many rows."""
+def kruskal(obs: DataFrame, by: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
+    """h (corrected for ties) and p of three classes; ``wide`` for features of very many rows."""
     n = F.col("n")
     part = lambda k: F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")
     raw = 12 / (n * (n + 1)) * (part(0) + part(1) + part(2)) - 3 * (n + 1)
     factor = 1 - F.col("tied") / (n * n * n - n)
     fine = (F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n2") > 0) & (factor > 0)
-    return _rank_sums(obs, by, cells).withColumn("h", F.when(fine, raw / factor)).select(*by, "feature", "h", F.exp(-F.col("h") / 2).alias("p"))
+    return _rank_sums(obs, by, wide).withColumn("h", F.when(fine, raw / factor)).select(*by, "feature", "h", F.exp(-F.col("h") / 2).alias("p"))
 
 
-def wilcoxon(obs: DataFrame, by: tuple[str, ...] = (), cells: int = 0) -> DataFrame:
+def wilcoxon(obs: DataFrame, by: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
     """z and p of the rank-sum test, without corrections."""
     n0, n1, n = F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")
     z = (F.col("s0") - n0 * (n + 1) / 2) / F.sqrt(n0 * n1 * (n + 1) / 12)
-    return _rank_sums(obs.where("y < 2"), by, cells).withColumn("z", F.when((n0 > 0) & (n1 > 0), z)).select(*by, "feature", "z", two_sided_normal(F.col("z")).alias("p"))
+    return _rank_sums(obs.where("y < 2"), by, wide).withColumn("z", F.when((n0 > 0) & (n1 > 0), z)).select(*by, "feature", "z", two_sided_normal(F.col("z")).alias("p"))
 
 
 def _moments(obs: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -139,12 +149,31 @@ def binned_mutual_information(obs: DataFrame, by: tuple[str, ...] = (), bins: in
     return cells.withColumn("term", term).groupBy(*keys).agg(F.sum("term").alias("score"))
 
 
-def benjamini_hochberg(tests: DataFrame, by: tuple[str, ...] = (), name: str = "feature", p: str = "p") -> DataFrame:
-    """Add q: false-discovery-rate adjusted p-values, by step-up; null p stay null and don't count."""
-    order = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p, name)
-    m = F.count(p).over(Window.partitionBy(*by))
-    step = F.least(F.lit(1.0), F.col(p) * m / F.row_number().over(order))
-    return tests.withColumn("_s", step).withColumn("q", F.when(F.col(p).isNotNull(), F.min("_s").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("_s")
+def benjamini_hochberg(tests: DataFrame, by: tuple[str, ...] = (), name: str = "feature", p: str = "p", wide: bool = False) -> DataFrame:
+    """Add q: false-discovery-rate adjusted p-values, by step-up; null p stay null and don't count.
+
+    ``wide`` is for very many tests of one key: ranks go up through ranges of p, and the running minimum comes down
+    through them, so a task has one range only.
+    """
+    known = F.col(p).isNotNull()
+    if not wide:
+        order = Window.partitionBy(*by, ~known).orderBy(p, name)
+        m = F.count(p).over(Window.partitionBy(*by))
+        step = F.least(F.lit(1.0), F.col(p) * m / F.row_number().over(order))
+        return tests.withColumn("_s", step).withColumn("q", F.when(known, F.min("_s").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("_s")
+    cells = _in_ranges(tests.where(known), *by, p, name)
+    inside = Window.partitionBy(*by, "_cell").orderBy(p, name)
+    up = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+    same = lambda x, y: reduce(Column.__and__, [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in (*by, "_cell")])
+    counts = cells.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumns({"_below": F.coalesce(F.sum("n").over(up), F.lit(0)), "_m": F.sum("n").over(Window.partitionBy(*by))}).drop("n")
+    rows = cells.alias("_c").join(counts.alias("_n"), same("_c", "_n")).select("_c.*", "_n._below", "_n._m")
+    rows = rows.withColumn("_s", F.least(F.lit(1.0), F.col(p) * F.col("_m") / (F.col("_below") + F.row_number().over(inside))))
+    least = rows.groupBy(*by, "_cell").agg(F.min("_s").alias("s")).withColumn("_later", F.min("s").over(down)).drop("s")
+    rows = rows.withColumn("_q", F.min("_s").over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    found = rows.alias("_r").join(least.alias("_l"), same("_r", "_l")).select(*[F.col(f"_r.{c}").alias(c) for c in tests.columns], F.least("_r._q", F.coalesce("_l._later", F.lit(1.0))).alias("q"))
+    return found.unionByName(tests.where(~known).withColumn("q", F.lit(None).cast("double")))
 
 
 def passing(tests: DataFrame, cut: float = 0.05, column: str = "p") -> DataFrame:
@@ -157,25 +186,84 @@ def fdr_gate(tests: DataFrame, cut: float, least: int = 4) -> DataFrame:
     return tests.withColumn("enough", (n >= least) & (n >= 2)).withColumn("kept", F.col("enough") & F.coalesce(F.col("q") < cut, F.lit(False)))
 
 
-def pearson_pairs(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """a, b (a before b), r and n of every pair of features, from packed samples: the pairs come from each sample's array.
+#: Features of a block, and samples of a chunk, of the products that correlations come from.
+COLUMNS, SAMPLES = 256, 4096
 
-    A sample's values meet once, as an array in order of position; sums of products are added before the shuffle.
-    """
-    packed = obs.groupBy(*by, "sample_id").agg(F.sort_array(F.collect_list(F.struct("feature_pos", "feature", "value"))).alias("x"))
-    firsts = packed.select(*by, "sample_id", "x", F.posexplode("x").alias("i", "a"))
-    pairs = firsts.select(*by, F.col("a.feature").alias("a"), F.col("a.value").alias("u"), F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
-    pairs = pairs.select(*by, "a", F.col("b.feature").alias("b"), "u", F.col("b.value").alias("v"))
-    sums = pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"), F.covar_pop("u", "v").alias("c"), F.stddev_pop("u").alias("su"), F.stddev_pop("v").alias("sv"))
-    r = F.col("c") / (F.col("su") * F.col("sv"))
-    return sums.select(*by, "a", "b", F.when((F.col("su") > 0) & (F.col("sv") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.col("n").cast("long").alias("n"))
 
+def pearson_pairs(obs: DataFrame, by: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
+    """a, b (a before b), r and n (samples that have both) of every pair of features; with ``least``, of pairs whose |r| is over it.
 
-def pearson_tests(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add p (two-sided) and q (over all pairs)."""
+    Features are dealt into blocks and samples into chunks. For two blocks and a chunk, matrix products give the sums of
+    all their pairs, so there is no row for a pair and a sample. Sums of several chunks are added by feature and block.
+    """
+    size = obs.groupBy(*by).agg(F.approx_count_distinct("sample_id", 0.05).alias("n"), F.approx_count_distinct("feature", 0.05).alias("p")).agg(F.max("n"), F.max("p")).first()
+    chunks, blocks = max(1, math.ceil((size[0] or 0) / SAMPLES)), max(1, math.ceil((size[1] or 0) / COLUMNS))
+    names = obs.groupBy(*by, "feature").agg(F.min("feature_pos").alias("feature_pos"), F.avg("value").alias("_mean"))  # sums are taken around the mean
+    names = names.withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int"))
+    names = names.withColumn("at", F.row_number().over(Window.partitionBy(*by, "block").orderBy("feature_pos", "feature")) - 1).withColumnRenamed("feature", "_feature")
+    width = names.groupBy(*by, "block").agg(F.count(F.lit(1)).cast("int").alias("width"))
+    same = reduce(Column.__and__, [F.col("feature") == F.col("_feature"), *[F.col(f"_o.{k}").eqNullSafe(F.col(f"_n.{k}")) for k in by]])
+    cells = obs.where("value is not null").alias("_o").join(names.alias("_n"), same).select(*[F.col(f"_o.{k}").alias(k) for k in by], "sample_id", "block", "at", (F.col("value") - F.col("_mean")).alias("value"))
+    columns = cells.groupBy(*by, "block", "at", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("sample_id", "value")).alias("v"))
+    pair = width.join(width.select(*by, F.col("block").alias("other"), F.col("width").alias("across")), list(by)) if by else width.crossJoin(width.select(F.col("block").alias("other"), F.col("width").alias("across")))
+    columns = columns.join(pair, [*by, "block"])
+    columns = columns.select(*by, "chunk", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "width", "across", F.col("v.sample_id").alias("ids"), F.col("v.value").alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
+    keys = ", ".join(f"{k} {kinds[k]}" for k in by) + ", " * bool(by)
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *keyed, _, i, j = key
+        ids, place = np.unique(np.concatenate(pdf["ids"].to_list()), return_inverse=True)
+        side = {}
+        for b in {i, j}:
+            mine = (pdf["block"] == b).to_numpy()
+            wide = int(pdf["width"].iloc[0] if mine[0] else pdf["across"].iloc[0])
+            x, has = np.zeros((wide, len(ids))), np.zeros((wide, len(ids)))
+            sizes = pdf["ids"].map(len).to_numpy()
+            at, keep = np.repeat(pdf["at"].to_numpy(), sizes), np.repeat(mine, sizes)
+            x[at[keep], place[keep]] = np.concatenate(pdf["x"].to_list())[keep]
+            has[at[keep], place[keep]] = 1
+            side[b] = (x, has)
+        (x, p), (y, q) = side[i], side[j]
+        sums = np.stack([p @ q.T, x @ q.T, p @ y.T, (x * x) @ q.T, p @ (y * y).T, x @ y.T], axis=2)
+        out = pd.DataFrame({"i": i, "j": j, "at": np.arange(len(x)), "v": list(sums.reshape(len(x), -1))})
+        for k, v in zip(by, keyed, strict=True):
+            out[k] = v
+        return out[[*by, "i", "j", "at", "v"]]
+
+    sums = columns.groupBy(*by, "chunk", "i", "j").applyInPandas(products, f"{keys}i int, j int, at int, v array<double>")
+    if chunks > 1:
+        sums = sums.groupBy(*by, "i", "j", "at").agg(Summarizer.sum(array_to_vector("v")).alias("v")).withColumn("v", vector_to_array("v"))
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                n, sx, sy, sxx, syy, sxy = np.asarray(row.v).reshape(-1, 6).T
+                m = np.maximum(n, 1)
+                vx, vy = sxx / m - (sx / m) ** 2, syy / m - (sy / m) ** 2
+                flat = (vx <= 1e-14 * np.maximum(sxx / m, 1e-300)) | (vy <= 1e-14 * np.maximum(syy / m, 1e-300))
+                r = np.where(flat, np.nan, np.clip((sxy / m - sx * sy / m**2) / np.sqrt(np.where(flat, 1, vx * vy)), -1, 1))
+                other = np.arange(len(n))
+                some = (n > 0) & ((other > row.at) if row.i == row.j else True)
+                some &= True if least is None else np.abs(np.nan_to_num(r)) > least
+                made = pd.DataFrame({"i": row.i, "j": row.j, "s": row.at, "t": other[some], "r": r[some], "n": n[some].round().astype(np.int64)})
+                for k in by:
+                    made[k] = getattr(row, k)
+                yield made[[*by, "i", "j", "s", "t", "r", "n"]]
+
+    pairs = sums.mapInPandas(ratios, f"{keys}i int, j int, s int, t int, r double, n long")
+    named = lambda b, at, to: names.select(*by, F.col("block").alias(b), F.col("at").alias(at), F.col("_feature").alias(to), F.col("feature_pos").alias(f"{to}_pos"))
+    full = pairs.join(named("i", "s", "x"), [*by, "i", "s"]).join(named("j", "t", "y"), [*by, "j", "t"])
+    turned = F.struct("y_pos", "y") < F.struct("x_pos", "x")
+    r = F.when(~F.isnan("r"), F.col("r"))
+    return full.select(*by, F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b"), r.alias("r"), "n")
+
+
+def pearson_tests(pairs: DataFrame, by: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
+    """Add p (two-sided) and q (over all pairs); ``wide`` for the pairs of thousands of features."""
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
     p = F.when(F.abs("r") >= 1, 0.0).when(F.col("r").isNotNull(), two_sided_t(t, F.col("n") - 2))
-    return benjamini_hochberg(pairs.withColumn("p", p).withColumn("_name", F.concat_ws("|", "a", "b")), by, "_name").drop("_name")
+    return benjamini_hochberg(pairs.withColumn("p", p).withColumn("_name", F.concat_ws("|", "a", "b")), by, "_name", wide=wide).drop("_name")
 
 
 def variance_inflation(pairs: DataFrame) -> DataFrame:

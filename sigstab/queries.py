@@ -13,7 +13,6 @@ from .catalog import (
 
 OBS3, OBS2 = obs_sql(3), obs_sql(2)
 #: Cells for ranks within one feature that has a row for every order.
-CELLS = 4096
 
 
 def emb(spark: SparkSession, sf_dir: str, classes: int = 3) -> DataFrame:
@@ -122,14 +121,14 @@ SELECT sample_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY va
 def avg_rank_ties(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     obs = orders.select(F.lit("price").alias("feature"), F.col("o_orderkey").alias("sample_id"), F.round(F.col("o_totalprice") / 1000).alias("value"))
-    return stats.average_ranks(obs, cells=CELLS).select("sample_id", F.col("rank").cast("double").alias("rank"), "ties")
+    return stats.average_ranks(obs, wide=True).select("sample_id", F.col("rank").cast("double").alias("rank"), "ties")
 
 
 @query(f"WITH oo AS (SELECT 'price' AS feature, o_totalprice AS value, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS y FROM orders) SELECT feature, {rnd('h')} AS h, {rnd('p')} AS p FROM {kruskal_sql('oo')}")
 def kruskal_h(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("price").alias("feature"), F.col("o_totalprice").alias("value"), "o_orderstatus")
     levels = orders.select("o_orderstatus").distinct().withColumn("y", F.dense_rank().over(Window.orderBy("o_orderstatus")) - 1)
-    return rounded(stats.kruskal(orders.join(levels, "o_orderstatus"), cells=CELLS), "h", "p")
+    return rounded(stats.kruskal(orders.join(levels, "o_orderstatus"), wide=True), "h", "p")
 
 
 @query(

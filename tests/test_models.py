@@ -143,8 +143,8 @@ def test_ranks_in_cells_are_ranks_in_one_window(spark):
     rows = [(i, "abc"[i % 3], i % 3, f"f{i % 2}", i % 2, float(v)) for i, v in enumerate(values)]
     obs = spark.createDataFrame(rows, SCHEMA)
     key = lambda r: (r["sample_id"], r["ties"], r["rank"])
-    assert sorted(map(key, stats.average_ranks(obs, cells=16).collect())) == sorted(map(key, stats.average_ranks(obs).collect()))
-    plain, cut = ({r["feature"]: r["h"] for r in stats.kruskal(obs, cells=c).collect()} for c in (0, 16))
+    assert sorted(map(key, stats.average_ranks(obs, wide=True).collect())) == sorted(map(key, stats.average_ranks(obs).collect()))
+    plain, cut = ({r["feature"]: r["h"] for r in stats.kruskal(obs, wide=c).collect()} for c in (False, True))
     assert plain == pytest.approx(cut)
 
 
