@@ -120,7 +120,7 @@ def cross_products(rows: DataFrame) -> DataFrame:
     return _added(rows, products)
 
 
-def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(classes, matrices) of one set."""
     pdf = pdf.sort_values(["c", "i"])
     codes = np.unique(pdf["c"])
@@ -298,7 +298,7 @@ def margins(rows: DataFrame, sums: DataFrame, c: float | None = None) -> DataFra
 
 
 def _start(key: tuple, pdf: pd.DataFrame, c: float) -> pd.DataFrame:
-    codes, sums = _stacked(pdf)
+    codes, sums = stacked(pdf)
     system = System("ridge", sums, None, 2 * c)
     raw, base = system.decision(system.weights())
     return pd.DataFrame({"fold": key[0], "set": key[1], "c": codes, "w": [np.append(b, r) for r, b in zip(raw, base, strict=True)], "sd": [system.sd] * len(codes)})
@@ -330,8 +330,8 @@ def fits(rows: DataFrame, parts: int, estimators: tuple[str, ...] = ESTIMATORS)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fold, s, name = int(key[0]), int(key[1]), key[2]
-        codes, sums = _stacked(pdf[~pdf["margin"]])
-        margin = _stacked(pdf[pdf["margin"]])[1] if name == "svm" else None
+        codes, sums = stacked(pdf[~pdf["margin"]])
+        margin = stacked(pdf[pdf["margin"]])[1] if name == "svm" else None
         system = System(name, sums, margin, PENALTY[name])
         out, p = [], len(system.sd)
         add = lambda kind, w, c=-1, b=0.0, pos=None: out.append(pd.DataFrame({"kind": kind, "c": c, "pos": np.arange(p) if pos is None else pos, "w": w, "b": b}))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
-from . import evaluate, resample, scaling
+from ..functions.storage import stored
+from . import evaluate, kernel, linear, resample, scaling
 
 TREES, SEED = 83, 0
 #: Fits that the driver has running side by side.
@@ -25,11 +26,17 @@ AT_ONCE = 4
 
 
 def pack(obs: DataFrame, names: list[str], scaled: bool = True) -> DataFrame:
-    """sample_id, label (double), features (vector in the order of ``names``); missing features count as 0."""
+    """sample_id, label (double), features (vector in the order of ``names``); missing features count as 0.
+
+    Values are sorted by the place of their feature, so a complete sample costs no look-up.
+    """
     z = scaling.zscore(obs) if scaled else obs
-    at = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
-    rows = z.groupBy("sample_id", "y").agg(at.alias("m"))
-    cells = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.element_at("m", n), F.lit(0.0)))
+    places = obs.sparkSession.createDataFrame(list(enumerate(names)), "place int, feature string")
+    cell = F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce("value", F.lit(0.0)).alias("value")))
+    rows = z.join(places, "feature", "left").groupBy("sample_id", "y").agg(F.sort_array(F.collect_list(cell)).alias("m"))
+    found = F.map_from_entries(F.col("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.element_at(found, k), F.lit(0.0)))
+    cells = F.when(F.size("m") == len(names), F.transform("m", lambda c: c["value"])).otherwise(filled)
     return rows.select("sample_id", F.col("y").cast("double").alias("label"), array_to_vector(cells).alias("features"))
 
 
@@ -86,8 +93,20 @@ def _squared_weights(rows: DataFrame, keep: list[int], name: str, n: int) -> np.
     return weights(estimator(name, rows=n).fit(x)) ** 2
 
 
+def _fitted(obs: DataFrame, kind: str, name: str) -> DataFrame:
+    """feature, score of a rank type of ``linear`` for one matrix."""
+    rows, places = linear.packed(obs.withColumn("fold", F.lit(0)), 1, 0)
+    found = linear.fits(stored(rows), 1, (name,)).where(F.col("kind") == kind)
+    return found.join(places, ["fold", "pos"]).select("feature", F.col("w").alias("score"))
+
+
 def elimination_rank(obs: DataFrame, name: str = "ridge") -> DataFrame:
-    """Recursive elimination to one feature: the score is the round in which a feature goes, so the last one is best."""
+    """Recursive elimination to one feature: the score is the round in which a feature goes, so the last one is best.
+
+    Linear estimators (``linear``) are solved from one set of cross products; trees are fitted anew in each round.
+    """
+    if name in linear.ESTIMATORS:
+        return _fitted(obs, "t4_elimination", name)
     names = names_of(obs)
     rows, left, score = pack(obs, names).cache(), list(range(len(names))), np.zeros(len(names))
     n = rows.count()
@@ -99,109 +118,83 @@ def elimination_rank(obs: DataFrame, name: str = "ridge") -> DataFrame:
     return _frame(obs, names, score)
 
 
-def addition_rank(obs: DataFrame, name: str = "ridge", select: int | None = None) -> DataFrame:
+def addition_rank(obs: DataFrame, name: str = "ridge") -> DataFrame:
     """Recursive addition: each round fits what is left and takes out its heaviest feature; the earlier, the better."""
-    names = names_of(obs)
-    rows, left, score = pack(obs, names).cache(), list(range(len(names))), np.zeros(len(names))
-    n = rows.count()
-    for step in range(min(select or len(names), len(names))):
-        w = _squared_weights(rows, left, name, n) if len(left) > 1 else np.ones(1)
-        score[left.pop(int(np.argmax(w)))] = len(names) - step
-    rows.unpersist()
-    return _frame(obs, names, score)
+    return _fitted(obs, "t7_addition", name)
 
 
 def addition_cv(obs: DataFrame, k: int = 3, name: str = "ridge") -> DataFrame:
-    """features, score: mean accuracy over folds of the first 1..n features of each fold's addition ranking."""
-    names = names_of(obs)
-    folds = resample.stratified_folds(resample.samples_of(obs), k).select("sample_id", "fold")
-    split, scored = obs.join(folds, "sample_id"), []
-    for fold in range(k):
-        train = split.where(F.col("fold") != fold).drop("fold")
-        order = [r["feature"] for r in addition_rank(train, name).orderBy(F.desc("score"), "feature").collect()]
-        fit, held = (x.cache() for x in train_and_test(split.withColumn("is_test", F.col("fold") == fold).drop("fold"), order))
-        n = fit.count()
-        for size in range(1, len(order) + 1):
-            first = lambda df: df.withColumn("features", array_to_vector(F.slice(vector_to_array("features"), 1, size)))  # noqa: B023, E731
-            scored.append((fold, size, _accuracy(estimator(name, rows=n).fit(first(fit)).transform(first(held)))))
-        fit.unpersist()
-        held.unpersist()
-    return obs.sparkSession.createDataFrame(scored, "fold int, features int, score double").groupBy("features").agg(F.avg("score").alias("score"))
-
-
-def _lasso_kernel(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
-    """L1 logistic regression of y in 0, 1 by proximal gradient steps."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    step = 4 / (np.linalg.norm(x, 2) ** 2 / len(x) + 1)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        w = w - step * (x.T @ (p - y)) / len(x)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-        b -= step * float((p - y).mean())
-    return w
-
-
-def stability_selection(obs: DataFrame, penalties: tuple[float, ...] = (0.02, 0.05, 0.1), rounds: int = 8, share: float = 0.75, seed: int = 7) -> DataFrame:
-    """feature, score: how often L1 models of stratified subsamples use the feature, averaged over penalties.
+    """features, score: mean accuracy over folds of the first 1..n features of each fold's addition ranking.
 
-    Each (penalty, round) is a group of packed samples, so subsamples are to fit a task; use ``weight_rank`` beyond that.
+    A fold's ranking and all its nested models come from its cross products; the held rows of all folds are scored in one pass.
     """
-    names = names_of(obs)
-    rows = pack(obs, names).select("sample_id", "label", vector_to_array("features").alias("x"))
-    many = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    chosen = resample.holdout(many.select("sample_id", F.concat_ws("/", "round", "label").alias("label"), "round").withColumn("key", F.col("sample_id")), share, seed).where("is_test")
-    part = many.join(chosen.select("sample_id", "round"), ["sample_id", "round"], "left_semi").withColumn("penalty", F.explode(F.array(*map(F.lit, penalties))))
+    split = resample.fold_splits(resample.samples_of(obs), k).select("sample_id", F.col("split").alias("fold"), "is_test")
+    rows, _ = linear.packed(obs.join(split, "sample_id").drop("label"), 1, 0)
+    rows = stored(rows.join(split, ["fold", "sample_id"]))
+    fit = rows.where("not is_test").withColumn("sets", F.array(F.lit(linear.WHOLE)))
+    sums = stored(linear.cross_products(fit))
+    plain = sums.select("*", F.lit(False).alias("margin"))
+    both = plain.unionByName(linear.margins(fit, sums).select("*", F.lit(True).alias("margin"))) if name == "svm" else plain
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, total = linear.stacked(pdf[~pdf["margin"]])
+        margin = linear.stacked(pdf[pdf["margin"]])[1] if name == "svm" else None
+        order = np.argsort(linear.System(name, total, margin, linear.PENALTY[name]).order(True), kind="stable")
+        out = []
+        for size in range(1, len(order) + 1):
+            some = np.concatenate([[0], order[:size] + 1])
+            inside = None if margin is None else margin[:, np.append(some, margin.shape[1] - 1)][:, :, np.append(some, margin.shape[1] - 1)]
+            system = linear.System(name, total[:, some][:, :, some], inside, linear.PENALTY[name])
+            raw, base = system.decision(system.weights())
+            out += [(int(key[0]), size, int(c), float(b), order[:size].tolist(), w.tolist()) for c, b, w in zip(codes, base, raw, strict=True)]
+        return pd.DataFrame(out, columns=["fold", "size", "c", "b", "at", "w"])
+
+    models: dict[int, dict[int, list]] = {}
+    for r in both.groupBy("fold").applyInPandas(solve, "fold int, size int, c int, b double, at array<int>, w array<double>").collect():
+        models.setdefault(r["fold"], {}).setdefault(r["size"], []).append(r)
+
+    def score(batches):
+        for pdf in batches:
+            for fold, some in pdf.groupby("fold"):
+                x, y = linear.dense(some)[:, 1:], some["y"].to_numpy()
+                for size, each in models[int(fold)].items():
+                    each = sorted(each, key=lambda r: r["c"])
+                    scores = np.stack([x[:, r["at"]] @ np.array(r["w"]) + r["b"] for r in each], axis=1)
+                    hit = np.array([r["c"] for r in each])[np.round(scores, 9).argmax(axis=1)] == y
+                    yield pd.DataFrame({"fold": [int(fold)], "features": [size], "hit": [int(hit.sum())], "n": [len(y)]})
+
+    counts = rows.where("is_test").mapInPandas(score, "fold int, features int, hit long, n long")
+    return counts.groupBy("fold", "features").agg((F.sum("hit") / F.sum("n")).alias("score")).groupBy("features").agg(F.avg("score").alias("score"))
+
+
+def stability_selection(obs: DataFrame, bags: int = 8) -> DataFrame:
+    """feature, score: in which share of subsamples (three quarters of the rows, by hash) and of a path of L1 penalties the
+    feature is used. A whole path comes from the cross products of a subsample, which Spark adds up (``linear``)."""
+    rows, places = linear.packed(obs.withColumn("fold", F.lit(0)), 1, bags)
+    found = linear.fits(stored(rows), 1, ("lasso",)).where("kind = 't5_stability'").groupBy("fold", "pos").agg(F.avg("w").alias("score"))
+    return found.join(places, ["fold", "pos"]).select("feature", "score")
+
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        x, y = np.stack(pdf["x"].tolist()), pdf["label"].to_numpy()
-        used = np.any([np.abs(_lasso_kernel(x, (y == c).astype(float), float(key[0]))) > 1e-9 for c in np.unique(y)], axis=0)
-        return pd.DataFrame({"penalty": key[0], "feature": names, "used": used.astype(float)})
+def lda_rank(obs: DataFrame, shrink: float = 1e-3) -> DataFrame:
+    """feature, score: absolute coefficient of the linear discriminant of two classes; of more, of the mean of one for each
+    class. The cross products are summed on the cluster, and a task solves one system of features."""
+    rows, places = linear.packed(obs.withColumn("fold", F.lit(0)), 1, 0)
 
-    found = part.groupBy("penalty", "round").applyInPandas(fit, "penalty double, feature string, used double")
-    return found.groupBy("penalty", "feature").agg(F.avg("used").alias("f")).groupBy("feature").agg(F.avg("f").alias("score"))
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = linear.System("lda", linear.stacked(pdf)[1], None, shrink).weights()
+        score = np.abs(w[1] - w[0] if len(w) == 2 else w.mean(axis=0))
+        return pd.DataFrame({"fold": 0, "pos": np.arange(len(score)), "score": score})
 
+    sums = linear.cross_products(stored(rows)).where(F.col("set") == linear.WHOLE)
+    return sums.groupBy("fold").applyInPandas(solve, "fold int, pos int, score double").join(places, ["fold", "pos"]).select("feature", "score")
 
-def lda_rank(obs: DataFrame, shrink: float = 1e-3) -> DataFrame:
-    """feature, score: absolute coefficient of the linear discriminant of two classes; of more, of the mean of one for each class. Class means and the pooled scatter are sums made on the cluster; one system of features is solved."""
-    from pyspark.ml.stat import Summarizer
 
-    names = names_of(obs)
-    rows = pack(obs, names)
-    means = {r["label"]: (r["n"], np.array(r["m"].toArray())) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("features")).alias("m")).collect()}
-    z = scaling.zscore(obs)
-    x, y = z.alias("x"), z.alias("y")
-    cross = x.join(y, F.col("x.sample_id") == F.col("y.sample_id")).groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b")).agg(F.sum(F.col("x.value") * F.col("y.value")).alias("s")).collect()
-    at = {n: i for i, n in enumerate(names)}
-    scatter = np.zeros((len(names), len(names)))
-    for r in cross:
-        scatter[at[r["a"]], at[r["b"]]] = r["s"]
-    total = sum(n for n, _ in means.values())
-    for n, m in means.values():
-        scatter -= n * np.outer(m, m)
-    inverse = np.linalg.pinv(scatter / max(1, total - len(means)) + shrink * np.eye(len(names)))
-    each = [inverse @ means[c][1] for c in sorted(means)]
-    return _frame(obs, names, np.abs(each[1] - each[0] if len(each) == 2 else np.mean(each, axis=0)))
-
-
-def kernel_classifier(train: DataFrame, test: DataFrame, gamma: float | None = None, ridge: float = 1.0, most: int = 5000) -> DataFrame:
-    """sample_id, y_true, y_pred of a one-against-rest kernel machine with a Gaussian kernel, fitted to at most ``most`` samples (by hash); both sides are scaled by ``train``."""
+def kernel_classifier(train: DataFrame, test: DataFrame, gamma: float | None = None, c: float = 1.0, most: int = kernel.MOST) -> DataFrame:
+    """sample_id, y_true, y_pred of support vector machines with a Gaussian kernel (``kernel``); both sides are scaled by ``train``."""
     names = names_of(train)
     both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)), allowMissingColumns=True)
     fit, held = train_and_test(both, names)
-    rows = fit.orderBy(hash_order(F.lit(SEED), F.col("sample_id"))).limit(most).toPandas()
-    x = np.stack([v.toArray() for v in rows["features"]])
-    classes = np.unique(rows["label"])
-    g = gamma or 1 / x.shape[1]
-    kernel = lambda a: np.exp(-g * ((a**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * a @ x.T))
-    alpha = np.linalg.solve(kernel(x) + ridge * np.eye(len(x)), (rows["label"].to_numpy()[:, None] == classes[None, :]) * 2.0 - 1)
-
-    def run(it):
-        for pdf in it:
-            best = classes[np.argmax(kernel(np.stack(pdf["x"].tolist())) @ alpha, axis=1)] if len(pdf) else []
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "y_true": pdf["label"].astype(int), "y_pred": np.array(best, int)})
-
-    return held.select("sample_id", "label", vector_to_array("features").alias("x")).mapInPandas(run, "sample_id long, y_true int, y_pred int")
+    return kernel.classify(fit.cache(), held, gamma, c, most)
 
 
 def grid_search(obs: DataFrame, name: str = "ridge", grid: tuple[float, ...] = (1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0), k: int = 3) -> DataFrame:

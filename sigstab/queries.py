@@ -12,7 +12,6 @@ from .catalog import (
 )
 
 OBS3, OBS2 = obs_sql(3), obs_sql(2)
-#: Cells for ranks within one feature that has a row for every order.
 
 
 def emb(spark: SparkSession, sf_dir: str, classes: int = 3) -> DataFrame:
@@ -709,17 +708,17 @@ def svm_weights_rank(spark, sf_dir):
 
 @query()
 def rfe_rank(spark, sf_dir):
-    return models.elimination_rank(part_of(spark, sf_dir, 6))
+    return models.elimination_rank(emb(spark, sf_dir))
 
 
 @query()
 def rfa_rank(spark, sf_dir):
-    return models.addition_rank(part_of(spark, sf_dir, 6))
+    return models.addition_rank(emb(spark, sf_dir))
 
 
 @query()
 def rfa_cv(spark, sf_dir):
-    return models.addition_cv(part_of(spark, sf_dir, 3), 2)
+    return models.addition_cv(emb(spark, sf_dir))
 
 
 @query()
