@@ -193,3 +193,37 @@ def double_cross_validation_oversampled(spark, sf_dir):
 def rank_scores_all_types(spark, sf_dir):
     """fold, method, feature, score, pos of every ranking: sums, linear estimators and trees, in each outer fold."""
     return rounded(plan.rank(emb(spark, sf_dir), plan.RankConfig(fitted=True)), "score")
+
+
+# Estimators of signatures
+
+
+@query(f"WITH {SEARCHED_MANY} SELECT fold, sig_id, estimator, cv_mean AS score FROM (SELECT *, rank() OVER (PARTITION BY sig_id ORDER BY cv_mean DESC) AS r FROM es) WHERE r = 1")
+def best_estimators(spark, sf_dir):
+    """The estimators, and folds, in which a signature has its highest score."""
+    return signatures.best_estimators(estimator_scores(spark, sf_dir).select("fold", "sig_id", "estimator", F.col("cv_mean").alias("score")))
+
+
+ALL_ESTIMATORS = (*EST, "ridge", "lda", "bag_ridge", "bag_lda")
+
+
+def model_scores(spark, sf_dir):
+    return plan.model_scores(emb(spark, sf_dir), searched(spark, sf_dir)[1], SEARCH, RANKS)
+
+
+@query()
+def signature_model_scores(spark, sf_dir):
+    """fold, sig_id and a score for each additive, linear and bagged estimator."""
+    return signatures.catalogue_table(model_scores(spark, sf_dir), ALL_ESTIMATORS)
+
+
+@query()
+def pick_estimator_of_all(spark, sf_dir):
+    return rounded(signatures.pick_estimator(model_scores(spark, sf_dir), ALL_ESTIMATORS), "score")
+
+
+@query()
+def search_with_large_combinations(spark, sf_dir):
+    """Scores of prefixes, of all combinations of two to four and of drawn ones of five and six of the first eight features."""
+    large = plan.SignatureConfig(most_features=8, combinations=(2, 3, 4), sampled=(5, 6), samples=5)
+    return plan.search(emb(spark, sf_dir), large, RANKS)[1].select("fold", "sig_id", "size", "cv_mean", "cv_std")

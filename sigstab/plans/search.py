@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.storage import stored
-from ..operators import evaluate, forest, linear, ranking, resample, signatures, stats
+from ..operators import bagged, evaluate, forest, linear, ranking, resample, signatures, stats
 
 
 @dataclass(frozen=True)
 class RankConfig:
     """Settings of the ranking stage; ``p_value`` None ranks all features ("no filter").
 
-    ``fitted`` adds the rankings of fitted estimators (linear ones and trees) to those that need sums only.
+    ``test`` filters by kruskal (three classes), wilcoxon or t_test (two). With ``fdr``, a fold in which fewer than
+    ``least_features`` pass is filtered by ``p_value`` instead. ``fitted`` adds the rankings of fitted estimators (linear
+    ones and trees) to those that need sums only. ``check`` raises on matrices that the folds don't fit.
     """
 
     outer_folds: int = 4
@@ -25,6 +27,8 @@ class RankConfig:
     fdr: float | None = None
     least_features: int = 4
     correlation_cut: float | None = None
+    test: str = "kruskal"
+    check: bool = True
     fitted: bool = False
     inner_parts: int = 3
     subsamples: int = 8
@@ -33,13 +37,17 @@ class RankConfig:
 
 @dataclass(frozen=True)
 class SignatureConfig:
-    """Settings of the signature stage."""
+    """Settings of the signature stage: the longest prefix of a ranking, sizes of which all combinations of its first
+    ``most_features`` are tried, and sizes of which ``samples`` times the size are drawn by hash."""
 
     most_features: int = 5
     inner_splits: int = 3
     top_frequency: int = 10
     delta: float = 0.10
     combinations: tuple[int, ...] = ()
+    sampled: tuple[int, ...] = ()
+    samples: int = 200
+    bags: int = 16
     candidate_splits: int = 5
     final_splits: int = 8
 
@@ -49,12 +57,19 @@ def folds(obs: DataFrame, k: int) -> DataFrame:
     return resample.fold_splits(resample.samples_of(obs), k).select("sample_id", F.col("split").alias("fold"), F.col("is_test").alias("outer"))
 
 
+TESTS = {"kruskal": stats.kruskal, "wilcoxon": stats.wilcoxon, "t_test": stats.t_test}
+
+
 def train_rows(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
     """The training rows of every fold, with the features that pass the fold's filter and aren't correlated."""
     train = obs.join(folds(obs, config.outer_folds), "sample_id").where("not outer").drop("outer")
     if config.p_value is not None or config.fdr is not None:
-        tests = stats.benjamini_hochberg(stats.kruskal(train, ("fold",)), ("fold",))
-        good = tests.where(F.col("q") < config.fdr) if config.fdr is not None else tests.where(F.col("p") < config.p_value)
+        tests = stats.benjamini_hochberg(TESTS[config.test](train, ("fold",)), ("fold",))
+        by_p = F.col("p") < config.p_value if config.p_value is not None else F.lit(True)
+        if config.fdr is not None:
+            enough = F.count_if(F.col("q") < config.fdr).over(Window.partitionBy("fold")) >= config.least_features
+            by_p = F.when(enough, F.col("q") < config.fdr).otherwise(by_p)
+        good = tests.withColumn("_good", by_p).where("_good")
         train = train.join(good.select("fold", "feature"), ["fold", "feature"], "left_semi")
     if config.correlation_cut is not None:
         pairs = stats.pearson_tests(stats.pearson_pairs(train, ("fold",)), ("fold",))
@@ -90,10 +105,14 @@ def blocks_of(obs: DataFrame) -> int:
 
 def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig(), ranked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates by method, signatures scored): fold, sig_id, genes, size, methods, cv_mean, cv_std, mean_freq, mean_p, adjusted."""
+    if ranks.check:
+        resample.check_classes(obs, ranks.outer_folds)
+    most = resample.feature_limit(obs, config.most_features)
     ranked = rank(obs, ranks) if ranked is None else ranked
-    found = signatures.prefixes(ranked, config.most_features)
-    for k in config.combinations:
-        found = found.unionByName(signatures.combinations(ranked, config.most_features, k))
+    found = signatures.prefixes(ranked, most)
+    for k in (*config.combinations, *config.sampled):
+        limit = config.samples * k if k in config.sampled else None
+        found = found.unionByName(signatures.combinations(ranked, most, k, limit))
     unique = stored(signatures.catalogue(found))
     outer = folds(obs, ranks.outer_folds)
     splits = inner_splits(obs, ranks, config.inner_splits)
@@ -139,6 +158,13 @@ def estimator_scores(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig
     return evaluate.counted_summary(counts, ("fold", "sig_id", "estimator"))
 
 
+def model_scores(obs: DataFrame, found: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+    """fold, sig_id, estimator, cv_mean, cv_std of every estimator, additive, linear and bagged, in the same inner splits."""
+    additive = estimator_scores(obs, found, config.inner_splits, ranks)
+    linear_ = bagged.scores(obs, found, inner_splits(obs, ranks, config.inner_splits), config.bags, blocks_of(obs))
+    return stored(additive.unionByName(linear_))
+
+
 def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
     """fold, sig_id, estimator, part ("cv": means over inner splits, "test": fitted on the fold's training rows, scored outside),
     the metrics of predictions and of probabilities, and best: whether the estimator's f1 is the part's highest (the first of

@@ -593,12 +593,6 @@ def best_cascade(spark, sf_dir):
     return signatures.best(searched(spark, sf_dir)[1]).select("fold", "sig_id", "cv_mean", "cv_std")
 
 
-@query(f"WITH {SEARCHED} SELECT fold, sig_id, owner AS estimator, cv_mean AS score FROM (SELECT *, rank() OVER (PARTITION BY sig_id ORDER BY cv_mean DESC) AS r FROM scored) WHERE r = 1")
-def best_estimators(spark, sf_dir):
-    scored = searched(spark, sf_dir)[1].select("fold", "sig_id", F.col("owner").alias("estimator"), F.col("cv_mean").alias("score"))
-    return signatures.best_estimators(scored)
-
-
 FREQ = "sf AS (SELECT fold, feature, count(*) AS n, count(*) / CAST(any_value(t) AS DOUBLE) AS freq FROM (SELECT fold, sig_id, unnest(genes) AS feature FROM near) JOIN (SELECT fold, count(*) AS t FROM near GROUP BY fold) USING (fold) GROUP BY ALL)".replace("GROUP BY ALL)", "GROUP BY fold, feature)")
 NEAR = cascade_sql("scored", "near", [("cv_mean", "max", 0.10, 3, ">")])
 
@@ -685,12 +679,6 @@ def tree_filter(spark, sf_dir):
 # Fitted models: results depend on the optimiser, so these have no twin
 
 
-def part_of(spark, sf_dir, features: int = 8) -> DataFrame:
-    from pyspark.sql import functions as G
-
-    return emb(spark, sf_dir).where(G.col("feature_pos") < features)
-
-
 @query()
 def mlr_weights_rank(spark, sf_dir):
     return models.weight_rank(emb(spark, sf_dir), "ridge").unionByName(models.weight_rank(emb(spark, sf_dir), "lasso"))

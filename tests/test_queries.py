@@ -16,7 +16,7 @@ SLOW = {
     "global_good_signatures", "global_best_signatures", "signature_incidence", "double_cross_validation", "mlr_weights_rank", "svm_weights_rank", "rfe_rank", "rfa_rank", "rfa_cv", "stability_selection", "ridge_grid_search",
     "rank_positions", "rank_names_wide", "rank_scores_wide", "rank_clamped_scores", "top10_freq_per_fold", "stable_features", "stability_lower_conf", "stability_top_half_methods", "boxplot_values_penalty", "boxplot_stats", "nonzero_limit",
     "search_with_combinations", "candidate_rescore", "max_score_first_owner", "correlates_near_best", "signature_estimator_scores", "pick_estimator", "final_evaluation", "double_cross_validation_oversampled",
-    "rank_scores_all_types", "rank_table_roundtrip", "rank_table_sink", "signature_combinations", "signature_random_combinations", "signature_dedupe", "signature_unscored_antijoin", "work_items",
+    "rank_scores_all_types", "signature_model_scores", "pick_estimator_of_all", "search_with_large_combinations", "rank_table_roundtrip", "rank_table_sink", "signature_combinations", "signature_random_combinations", "signature_dedupe", "signature_unscored_antijoin", "work_items",
 }
 CHOSEN = sorted(catalog.QUERIES if os.environ.get("SIGSTAB_ALL") else catalog.QUERIES.keys() - SLOW)
 
