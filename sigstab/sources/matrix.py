@@ -69,6 +69,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return rows.where("feature <> ''").join(samples, "sample_pos").select("sample_id", "sample_pos", "label", "y", "feature", F.expr("try_cast(value as double)").alias("value"))
 
 
+def with_positions(obs: DataFrame) -> DataFrame:
+    """Add feature_pos: the place of a feature among all by name."""
+    names = obs.select("feature").distinct()
+    return obs.join(names.withColumn("feature_pos", F.row_number().over(Window.orderBy("feature")) - 1), "feature")
+
+
 def to_frame(obs: DataFrame, samples: list) -> DataFrame:
     """The file's layout: a row for each feature with a column for each sample."""
     return obs.groupBy("feature").pivot("sample_id", samples).agg(F.first("value")).orderBy("feature")
