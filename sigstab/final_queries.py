@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import BEST, FOLDS, INNER, RANKS, SCORED, SEARCH, SEARCHED, UNIQUE, anova_sql, cascade_sql, distance_sql, evaluate, mutual_sql, nearest_sql, plan, query, ranking, resample, rnd, rounded, signatures, stats
+from .operators import trees
 from .queries import ALL_PRED, BASE, CANDIDATES, DIST, GROUPS, KFOLD, METHODS, NEAR, OBS2, OBS3, OUTER_SPLITS, PAIR_TESTS, PAIRS, all_predictions, emb, log_sql, ranked_of, searched, splits3
 
 EST = evaluate.ESTIMATORS
@@ -227,3 +228,29 @@ def search_with_large_combinations(spark, sf_dir):
     """Scores of prefixes, of all combinations of two to four and of drawn ones of five and six of the first eight features."""
     large = plan.SignatureConfig(most_features=8, combinations=(2, 3, 4), sampled=(5, 6), samples=5)
     return plan.search(emb(spark, sf_dir), large, RANKS)[1].select("fold", "sig_id", "size", "cv_mean", "cv_std")
+
+
+# Trees and orders of all rows
+
+
+@query()
+def nj_trees_up(spark, sf_dir):
+    return trees.feature_trees(emb(spark, sf_dir), direction="up")
+
+
+@query()
+def nj_trees_down(spark, sf_dir):
+    return trees.feature_trees(emb(spark, sf_dir), direction="down")
+
+
+@query()
+def nj_tree_of_samples(spark, sf_dir):
+    """One neighbour-joining tree of all samples, from their Euclidean distances."""
+    return trees.sample_tree(stats.distances(emb(spark, sf_dir)))
+
+
+@query()
+def feature_cluster_order(spark, sf_dir):
+    """The order of features in a cluster map: average linkage of 1 - r."""
+    pairs = stats.pearson_pairs(emb(spark, sf_dir)).select("a", "b", (1 - F.coalesce("r", F.lit(0.0))).alias("d"))
+    return trees.clustered(pairs)

@@ -55,15 +55,26 @@ def containment(signatures: DataFrame, ranked: DataFrame, top: int, by: tuple[st
     return hits.where("c = size").groupBy(*by, "sig_id").agg(F.array_sort(F.collect_set("method")).alias("found_in"))
 
 
+#: Ways of a signature that one row stands for before they are made.
+WAYS = 4096
+
+
 def expand_correlates(signatures: DataFrame, groups: DataFrame) -> DataFrame:
     """sig_id (the origin), genes, new_id: every way to replace features by correlates that were dropped for them, the origin too.
 
-    A signature is small, and so are its features' groups: the ways of one signature are made inside its row.
+    A way is a number whose digits, in the mixed radix of the features' choices, say which choice each feature takes. The
+    numbers of a signature are cut into ranges, which are dealt to tasks, and each is made into a signature there.
     """
     alike = signatures.select("sig_id", F.posexplode("genes").alias("i", "kept")).join(groups, "kept", "left")
     choice = alike.groupBy("sig_id").agg(F.sort_array(F.collect_list(F.struct("i", F.concat(F.array("kept"), F.coalesce("dropped", F.array().cast("array<string>"))).alias("g")))).alias("c"))
-    ways = F.aggregate("c", F.array(F.array().cast("array<string>")), lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(c["g"], lambda g: F.concat(d, F.array(g))))))
-    made = choice.select("sig_id", F.explode(ways).alias("genes")).withColumn("genes", F.array_sort("genes"))
+    begin = F.struct(F.array().cast("array<bigint>").alias("units"), F.lit(1).cast("long").alias("ways"))
+    weigh = lambda a, c: F.struct(F.concat(a["units"], F.array(a["ways"])).alias("units"), (a["ways"] * F.size(c["g"])).alias("ways"))
+    numbered = choice.select("sig_id", "c", F.aggregate("c", begin, weigh).alias("r")).select("sig_id", "c", "r.units", "r.ways")
+    ranges = numbered.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1, F.lit(WAYS).cast("long")))).repartition("sig_id", "begin")
+    each = ranges.select("sig_id", "c", "units", F.explode(F.sequence("begin", F.least(F.col("begin") + WAYS, F.col("ways")) - 1)).alias("way"))
+    digit = lambda c, k: F.call_function("div", F.col("way"), F.get("units", k)) % F.size(c["g"])
+    genes = F.array_sort(F.transform("c", lambda c, k: F.element_at(c["g"], (digit(c, k) + 1).cast("int"))))
+    made = each.select("sig_id", genes.alias("genes"))
     return made.withColumn("new_id", F.concat_ws("|", "genes")).dropDuplicates(["sig_id", "new_id"])
 
 
