@@ -58,7 +58,7 @@ def _beta(t: Column, df: Column) -> Column:
         half = F.lit(0.5)
         return F.when(x >= 1, 1.0).when(far, front * _let(side(a, half, x), near) / a).otherwise(1 - front * _let(side(half, a, 1 - x), near) / 0.5)
 
-    return _let(F.struct((df / 2).alias("a"), (df / (df + t * t)).alias("x"), (30 + 2 * F.sqrt(df)).cast("int").alias("n")), tail)
+    return _let(F.struct((df / 2).alias("a"), (df / (df + t * t)).alias("x"), (28 + F.sqrt(df)).cast("int").alias("n")), tail)
 
 
 def _fraction(a: Column, b: Column, x: Column, n: Column) -> Column:

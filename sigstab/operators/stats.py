@@ -196,10 +196,11 @@ def pearson_pairs(obs: DataFrame, by: tuple[str, ...] = (), least: float | None
     Features are dealt into blocks and samples into chunks. For two blocks and a chunk, matrix products give the sums of
     all their pairs, so there is no row for a pair and a sample. Sums of several chunks are added by feature and block.
     """
-    size = obs.groupBy(*by).agg(F.approx_count_distinct("sample_id", 0.05).alias("n"), F.approx_count_distinct("feature", 0.05).alias("p")).agg(F.max("n"), F.max("p")).first()
+    names = obs.groupBy(*by, "feature").agg(F.min("feature_pos").alias("feature_pos"), F.avg("value").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    names = stored(names)  # sums are taken around the mean
+    size = names.groupBy(*by).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("p")).agg(F.max("n"), F.max("p")).first()
     chunks, blocks = max(1, math.ceil((size[0] or 0) / SAMPLES)), max(1, math.ceil((size[1] or 0) / COLUMNS))
-    names = obs.groupBy(*by, "feature").agg(F.min("feature_pos").alias("feature_pos"), F.avg("value").alias("_mean"))  # sums are taken around the mean
-    names = names.withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int"))
+    names = names.drop("_n").withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int"))
     names = names.withColumn("at", F.row_number().over(Window.partitionBy(*by, "block").orderBy("feature_pos", "feature")) - 1).withColumnRenamed("feature", "_feature")
     width = names.groupBy(*by, "block").agg(F.count(F.lit(1)).cast("int").alias("width"))
     same = reduce(Column.__and__, [F.col("feature") == F.col("_feature"), *[F.col(f"_o.{k}").eqNullSafe(F.col(f"_n.{k}")) for k in by]])
