@@ -1,23 +1,18 @@
-"""Every query of the library against its DuckDB twin; the slow ones only if SIGSTAB_ALL is set."""
+"""Every query of the library against its DuckDB twin; a few of a minute each only if SIGSTAB_ALL is set."""
 
 import math
 import os
+from functools import cache
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__
-from sigstab import catalog
-
-#: Queries of seconds rather than tenths: the signature search and the fitted models.
-SLOW = {
-    "signature_cv", "adjusted_score", "near_best_filter", "better_cascade", "best_cascade", "best_estimators", "feature_freq_in_signatures", "mean_freq_over_folds", "max_score_per_rank",
-    "global_good_signatures", "global_best_signatures", "signature_incidence", "double_cross_validation", "mlr_weights_rank", "svm_weights_rank", "rfe_rank", "rfa_rank", "rfa_cv", "stability_selection", "ridge_grid_search",
-    "rank_positions", "rank_names_wide", "rank_scores_wide", "rank_clamped_scores", "top10_freq_per_fold", "stable_features", "stability_lower_conf", "stability_top_half_methods", "boxplot_values_penalty", "boxplot_stats", "nonzero_limit",
-    "search_with_combinations", "candidate_rescore", "max_score_first_owner", "correlates_near_best", "signature_estimator_scores", "pick_estimator", "final_evaluation", "double_cross_validation_oversampled",
-    "rank_scores_all_types", "signature_model_scores", "pick_estimator_of_all", "search_with_large_combinations", "rank_table_roundtrip", "rank_table_sink", "signature_combinations", "signature_random_combinations", "signature_dedupe", "signature_unscored_antijoin", "work_items",
-}
+from sigstab import catalog, final_queries, queries
+
+#: Queries that fit models for a minute or so; their operators have tests of their own.
+SLOW = {"rank_scores_all_types", "double_cross_validation_oversampled", "ridge_grid_search", "svm_weights_rank"}
 CHOSEN = sorted(catalog.QUERIES if os.environ.get("SIGSTAB_ALL") else catalog.QUERIES.keys() - SLOW)
 
 
@@ -30,6 +25,17 @@ def duck(small):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_search():
+    """The ranks and the search of a folder are worked out once for all queries that begin with them."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("ranked_of", "searched"):
+            once = cache(getattr(queries, name))
+            for module in (queries, final_queries):
+                patch.setattr(module, name, once)
+        yield
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.6g}" if v else "0"
