@@ -230,6 +230,14 @@ def search_with_large_combinations(spark, sf_dir):
     return plan.search(emb(spark, sf_dir), large, RANKS)[1].select("fold", "sig_id", "size", "cv_mean", "cv_std")
 
 
+@query()
+def final_model_evaluation(spark, sf_dir):
+    """Metrics of the chosen signatures with linear models and their bagged forms, inside and outside."""
+    chosen = plan.stored(signatures.best(searched(spark, sf_dir)[1]))
+    out = plan.model_evaluation(emb(spark, sf_dir), chosen, SEARCH, RANKS)
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
 # Trees and orders of all rows
 
 

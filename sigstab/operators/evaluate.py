@@ -40,13 +40,15 @@ def feature_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] =
 ESTIMATORS = ("centroid", "naive_bayes", "manhattan")
 
 
-def estimator_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",), names: tuple[str, ...] = ESTIMATORS) -> DataFrame:
+def estimator_distances(obs: DataFrame, splits: DataFrame, keys: tuple[str, ...] = ("split",), names: tuple[str, ...] = ESTIMATORS, extra: DataFrame | None = None) -> DataFrame:
     """keys, estimator, sample_id, y, feature, c, d: each test value's loss for class c, which signatures add up.
 
+    ``extra`` are training rows (keys, y, feature, value) besides.
+
     centroid: squared distance to the class mean; manhattan: absolute distance; naive_bayes: twice the negative logarithm
     of the normal density, but for a constant (classes count as equally likely; variances are not under 1e-9).
     """
-    z = _split_rows(obs, splits, keys)
+    z = _split_rows(obs, splits, keys, extra)
     each = z.where(~F.col("is_test")).groupBy(*keys, "feature", F.col("y").alias("c")).agg(F.avg("value").alias("m"), F.greatest(F.lit(1e-9), F.var_pop("value")).alias("v"))
     gap = F.col("value") - F.col("m")
     loss = {"centroid": gap * gap, "manhattan": F.abs(gap), "naive_bayes": gap * gap / F.col("v") + F.log("v")}

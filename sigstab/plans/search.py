@@ -165,10 +165,11 @@ def model_scores(obs: DataFrame, found: DataFrame, config: SignatureConfig = Sig
     return stored(additive.unionByName(linear_))
 
 
-def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig(), oversample: bool = False) -> DataFrame:
     """fold, sig_id, estimator, part ("cv": means over inner splits, "test": fitted on the fold's training rows, scored outside),
     the metrics of predictions and of probabilities, and best: whether the estimator's f1 is the part's highest (the first of
-    the catalogue among equals)."""
+    the catalogue among equals). ``oversample`` adds the part "test_smote": fitted on the training rows and the synthetic
+    ones that balance their classes."""
     chosen = stored(chosen)
     used = chosen.select(F.explode("genes").alias("feature")).distinct()
     obs = obs.join(used, "feature", "left_semi")
@@ -176,7 +177,12 @@ def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig
     outside = folds(obs, ranks.outer_folds).select("sample_id", "fold", F.lit(0).alias("split"), F.col("outer").alias("is_test"), F.lit("test").alias("part"))
     keys = ("part", "fold", "split")
     of = ("part", "estimator", "fold", "split")
-    sums = evaluate.loss_sums(evaluate.estimator_distances(obs, inside.unionByName(outside), keys), chosen, of, ("fold",))
+    splits, extra = inside.unionByName(outside), None
+    if oversample:
+        train = stored(obs.join(outside.where("not is_test").select("sample_id", "fold"), "sample_id"))
+        extra = stored(resample.smote_by_fold(train, list(range(ranks.outer_folds)))).select("*", F.lit(0).alias("split"), F.lit("test_smote").alias("part"))
+        splits = splits.unionByName(outside.withColumn("part", F.lit("test_smote")))
+    sums = evaluate.loss_sums(evaluate.estimator_distances(obs, splits, keys, extra=extra), chosen, of, ("fold",))
     sums = stored(sums)
     by = (*of, "sig_id")
     plain = evaluate.metrics(evaluate.confusion(evaluate.nearest(sums, by), by), by)
@@ -188,6 +194,24 @@ def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig
     return means.withColumn("best", F.row_number().over(order) == 1)
 
 
+#: The number of the split whose test rows are an outer fold's.
+OUTSIDE = 1_000_000
+
+
+def model_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: RankConfig = RankConfig()) -> DataFrame:
+    """``final_evaluation`` of the linear models and their bagged forms: metrics of predictions, inside (cv) and outside (test)."""
+    chosen = stored(chosen.select("fold", "sig_id", "genes").distinct())
+    outside = folds(obs, ranks.outer_folds).select("sample_id", "fold", F.lit(OUTSIDE).alias("split"), F.col("outer").alias("is_test"))
+    splits = stored(inner_splits(obs, ranks, config.final_splits).unionByName(outside))
+    counts = bagged.confusion(obs, splits, chosen, blocks=blocks_of(obs))
+    if config.bags:
+        bags = bagged.confusion(obs, splits, chosen, config.bags, blocks=blocks_of(obs))
+        counts = counts.unionByName(bags.withColumn("estimator", F.concat(F.lit("bag_"), "estimator")))
+    by = ("part", "estimator", "fold", "split", "sig_id")
+    each = evaluate.metrics(stored(counts.withColumn("part", F.when(F.col("split") == OUTSIDE, "test").otherwise("cv"))), by)
+    return each.groupBy("fold", "sig_id", "estimator", "part").agg(*[F.avg(c).alias(c) for c in each.columns if c not in by])
+
+
 def outer_scores(obs: DataFrame, chosen: DataFrame, ranks: RankConfig = RankConfig(), oversample: bool = False) -> DataFrame:
     """fold, sig_id, score: accuracy of each chosen signature on its fold's test samples; ``oversample`` balances the training rows."""
     splits = folds(obs, ranks.outer_folds).withColumnRenamed("outer", "is_test")

@@ -65,10 +65,25 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     codes = {x: y for y, x in enumerate(sorted(set(labels)))}
     samples = spark.createDataFrame([(k, n, x, codes[x]) for k, (n, x) in enumerate(zip(names, labels, strict=True))], "sample_pos int, sample_id string, label string, y int")
     cells = F.split(F.regexp_replace("value", '[\ufeff \r"]', ""), f"[{sep}]")
-    rows = raw.where(~F.col("value").isin(head)).select(cells.alias("cells")).select(F.col("cells")[0].alias("feature"), F.posexplode(F.slice("cells", 2, len(names))).alias("sample_pos", "value"))
+    rows = _below_head(raw, first, head).select(cells.alias("cells")).select(F.col("cells")[0].alias("feature"), F.posexplode(F.slice("cells", 2, len(names))).alias("sample_pos", "value"))
     return rows.where("feature <> ''").join(samples, "sample_pos").select("sample_id", "sample_pos", "label", "y", "feature", F.expr("try_cast(value as double)").alias("value"))
 
 
+def _below_head(raw: DataFrame, first: str, head: list[str]) -> DataFrame:
+    """The lines without the two head lines, each taken away once: where the first file begins, in their order.
+
+    Lines like a head line are data elsewhere. Only such lines are numbered, so the window is as long as there are copies.
+    """
+    start = (F.col("_metadata.file_path") == first) & (F.col("_metadata.file_block_start") == 0)
+    lines = raw.select("value", start.alias("start"), F.monotonically_increasing_id().alias("line"))
+    alike = lines.where(F.col("start") & F.col("value").isin(head)).groupBy("value").agg(F.sort_array(F.collect_list("line")).alias("at"))
+    gone = {}
+    for r in alike.collect():
+        gone[r["value"]] = r["at"][: head.count(r["value"])]
+    taken = [k for at in gone.values() for k in at]
+    return lines.where(~F.col("line").isin(taken)).select("value") if taken else lines.select("value")
+
+
 def with_positions(obs: DataFrame) -> DataFrame:
     """Add feature_pos: the place of a feature among all by name."""
     names = obs.select("feature").distinct()

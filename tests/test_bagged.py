@@ -86,3 +86,33 @@ def test_scores_of_plain_and_bagged_models(data):
     assert {r["estimator"] for r in got} == {"ridge", "lda", "bag_ridge", "bag_lda"} and len(got) == 2 * 5 * 4
     assert all(r["cv_mean"] > 0.55 for r in got if r["sig_id"] == "f0|f2")
     assert linear.WHOLE == 0 and not some.where(F.size("genes") == 0).count()
+
+
+def test_final_evaluation_of_linear_models(spark, data):
+    """Outside, the counts are those of a fit to the fold's training rows; all metrics come from them."""
+    from sigstab.plans import search as plan
+
+    x, y, obs, _, some, _, _ = data
+    ranks, config = plan.RankConfig(outer_folds=3), plan.SignatureConfig(final_splits=2, bags=3)
+    chosen = some.where("size > 1").select("fold", "sig_id", "genes")
+    got = plan.model_evaluation(obs, chosen, config, ranks).collect()
+    assert len(got) == 2 * 4 * 4 * 2 and {r["part"] for r in got} == {"cv", "test"}
+    folds = {r["sample_id"] for r in plan.folds(obs, 3).where("fold = 0 and outer").collect()}
+    test = np.isin(np.arange(90), list(folds))
+    for r in got:
+        if (r["fold"], r["part"], r["estimator"]) == (0, "test", "ridge"):
+            genes = [int(g[1]) for g in r["sig_id"].split("|")]
+            assert r["accuracy"] == pytest.approx((predicted("ridge", x[:, genes], y, ~test, test) == y[test]).mean())
+
+
+def test_final_evaluation_with_balanced_training_rows(spark, data):
+    from sigstab.plans import search as plan
+
+    _, _, obs, _, some, _, _ = data
+    uneven = obs.where("not (y = 2 and sample_id % 3 > 0)")
+    chosen = some.where("size > 1").select("fold", "sig_id", "genes")
+    got = plan.final_evaluation(uneven, chosen, plan.SignatureConfig(final_splits=2), plan.RankConfig(outer_folds=3), oversample=True).collect()
+    assert {r["part"] for r in got} == {"cv", "test", "test_smote"}
+    one = {(r["part"], r["fold"], r["estimator"]): r for r in got if r["sig_id"] == "f0|f2"}
+    assert len(one) == 3 * 2 * 3 and all(one["test_smote", f, "centroid"]["accuracy"] > 0.6 for f in (0, 1))
+    assert any(one["test_smote", f, e]["log_loss"] != one["test", f, e]["log_loss"] for f in (0, 1) for e in evaluate.ESTIMATORS)

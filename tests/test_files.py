@@ -104,3 +104,9 @@ def test_p_values_of_a_file_matrix(spark, tmp_path):
     (tmp_path / "m.csv").write_text(",1,2,3,4,5,6,7,8,9\np,A,A,A,B,B,B,C,C,C\ng1,1,2,3,4,5,6,7,8,9\n")
     h = stats.kruskal(matrix.read_csv(spark, str(tmp_path / "m.csv"))).first()
     assert h["h"] == pytest.approx(7.2)
+
+
+def test_a_data_line_like_the_line_of_labels_is_data(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(",s1,s2,s3\np,1,2,1\nq,5,6,7\np,1,2,1\n")
+    got = matrix.read_csv(spark, f"file://{tmp_path}/m.csv").select("feature", "sample_id", "label", "value").collect()
+    assert sorted(map(tuple, got)) == [("p", "s1", "1", 1.0), ("p", "s2", "2", 2.0), ("p", "s3", "1", 1.0), ("q", "s1", "1", 5.0), ("q", "s2", "2", 6.0), ("q", "s3", "1", 7.0)]
