@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Da
     """cls, hashes: the shingle set of every class, read again from the text of one of its rows."""
     wanted = classes.select("cls", "id", "h1", "h2")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *_text_key(text_col))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *text_key(text_col))
     found = rows.join(wanted, F.col("doc").eqNullSafe(F.col("id")) & (rows["h1"] == wanted["h1"]) & (rows["h2"] == wanted["h2"])).select("cls", "text")
 
     def run(texts: list) -> list:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Da
     return map_texts(found, ("cls",), "text", run, "hashes array<long>").dropDuplicates(["cls"])
 
 
-def _text_key(text_col: str) -> tuple[Column, Column]:
+def text_key(text_col: str) -> tuple[Column, Column]:
     text = text_of(F.col(text_col))
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(SEED), text).alias("h2")
 
@@ -204,13 +204,13 @@ def _forest(hashes: np.ndarray, first: int, root: np.ndarray, percent: int) -> n
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept for every row; see the module for what is defined."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *_text_key(text_col))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *text_key(text_col))
     prints = checkpointed(signatures(keyed, ("id", "h1", "h2"), "text"))
     one = F.min(F.struct("id", "h1", "h2")).alias("row")
     classes = prints.where("n_shingles > 0").groupBy("same").agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), one)
     classes = checkpointed(classes.select("same", "least_id", "n", "sig", "row.*"))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())  # of stored partitions: the same at each reading
-    roots = _roots(docs, classes, id_col, text_col, percent)
+    roots = class_roots(docs, classes, _buckets(classes), id_col, text_col, percent)
     rooted = classes.join(roots, classes["cls"] == roots["node"], "left").select("same", "least_id", F.coalesce("root", "cls").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = rooted.join(least, "root").select("same", "component_id")
@@ -219,9 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _roots(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """node, root of the classes that have a link."""
-    buckets = checkpointed(_buckets(classes))
+def class_roots(docs: DataFrame, classes: DataFrame, buckets: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """node, root of the classes (cls, n, and a row's id, h1, h2) that have a link with another class of a bucket."""
+    buckets = checkpointed(buckets)
     members = buckets.select("cls").distinct()
     sets = checkpointed(_sets(docs, classes.join(members, "cls"), id_col, text_col))
     sizes = classes.select(F.col("cls").alias("least"), F.col("n").alias("m"))

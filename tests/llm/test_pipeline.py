@@ -4,12 +4,12 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from sigstab.llm import mixing, packing, pii, rules, simhash
+from sigstab.llm import mixing, packing, pii, rules, simhash_tables
 
 from . import odd
 from .test_pii import base
 from .test_rules import measured
-from .test_simhash import brute_components, brute_print
+from .test_simhash_tables import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,7 +34,7 @@ def test_stages_on_a_whole_table(spark, small, tmp_path):
     assert all(kept[i] == rows[i] for i in kept)
 
     ids = {r["doc_id"] for r in single.collect()}
-    assert ids == {c for *_, c in brute_components([(i, brute_print(t)) for i, t in kept.items()])}
+    assert ids == {c for *_, c in components(list(kept.items()))}
 
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts.keys() == ids
@@ -69,4 +69,4 @@ def test_odd_documents_and_an_empty_table(spark, tmp_path):
         assert all(later <= earlier for earlier, later in zip(ids, ids[1:], strict=False))
         assert name == "odd" or all(x.count() == 0 for x in out)
         assert all(x.columns == docs.columns for x in out[:-1])
-        assert simhash.deduplicate(out[1]).count() == out[2].count()
+        assert simhash_tables.deduplicate(out[1]).count() == out[2].count()
