@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigstab.llm import mixing, packing, pii, rules, simhash
+from sigstab.llm import mixing, packing, pii, rules, simhash_tables
 from sigstab.llm.common import ensure_checkpoint_dir
 
 
@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: texts that share 80 % of their five-word shingles, directly or by others."""
+    return simhash_tables.deduplicate(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
