@@ -23,7 +23,17 @@ from ..functions.storage import stored
 
 def class_log_ratio(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-7) -> DataFrame:
     """r01, r02, r12: log2 of the ratio of class means (three classes, by label order); zero means count as ``floor``."""
-    means = obs.groupBy(*by, "feature").pivot("y", [0, 1, 2]).agg(F.avg("value"))
+    return _log_ratios(obs.groupBy(*by, "feature").pivot("y", [0, 1, 2]).agg(F.avg("value")), by, floor)
+
+
+def class_log_ratio_of_labels(obs: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-7) -> DataFrame:
+    """``class_log_ratio`` of rows without codes: the labels of the means are numbered (null last), so rows meet no table of levels."""
+    means = obs.groupBy(*by, "feature", "label").agg(F.avg("value").alias("m"))
+    coded = means.withColumn("y", F.dense_rank().over(Window.orderBy(F.asc_nulls_last("label"))) - 1)
+    return _log_ratios(coded.groupBy(*by, "feature").pivot("y", [0, 1, 2]).agg(F.first("m")), by, floor)
+
+
+def _log_ratios(means: DataFrame, by: tuple[str, ...], floor: float) -> DataFrame:
     log = lambda k: F.when(F.col(f"`{k}`") == 0, F.log2(F.lit(floor))).when(F.col(f"`{k}`") > 0, F.log2(F.col(f"`{k}`")))
     return means.select(*by, "feature", (log(0) - log(1)).alias("r01"), (log(0) - log(2)).alias("r02"), (log(1) - log(2)).alias("r12"))
 
