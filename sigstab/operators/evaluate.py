@@ -118,7 +118,11 @@ def _walk(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
     known[f, at, c] = True
     truth = np.zeros(len(samples), int)
     truth[at] = left["y"]
-    place = {name: k for k, name in enumerate(features)}
+    return _descend(loss, known, truth, classes, {name: k for k, name in enumerate(features)}, right)
+
+
+def _descend(loss: np.ndarray, known: np.ndarray, truth: np.ndarray, classes: np.ndarray, place: dict, right: pd.DataFrame) -> list[tuple]:
+    """``_walk`` for losses by (feature, sample, class), and whether they are known."""
     width = int(classes.max()) + 1
     path: list[int] = []
     sums: list[tuple[np.ndarray, np.ndarray]] = []
@@ -143,6 +147,120 @@ def _walk(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
     return out
 
 
+def packed_confusion(obs: DataFrame, splits: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = (), names: tuple[str, ...] = ESTIMATORS, blocks: int = 1) -> DataFrame:
+    """estimator, keys, sig_id, y_true, y_pred, n: the ``trie_confusion`` of ``estimator_distances``, from packed samples.
+
+    A sample is one row with its values, and travels once for each split that tests it. Samples of the same training parts
+    are summed together, by feature and class, so training rows aren't repeated for each split; a group for each of ``keys``
+    merges these sums to means and deviations. A unit (block of a split's test samples, chunk of the signatures) works out
+    the losses, so there is no row for a sample, feature and class.
+    """
+    from ..functions.storage import stored
+
+    known = [r[0] for r in obs.select("feature").distinct().orderBy("feature").collect()]
+    places = obs.sparkSession.createDataFrame(list(enumerate(known)), "pos int, feature string")
+    cells = F.sort_array(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))))
+    packed = obs.join(F.broadcast(places), "feature").groupBy("sample_id", "y").agg(cells.alias("_v"))
+    parts = splits.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*keys, "is_test"))).alias("_parts"))
+    rows = packed.join(parts, "sample_id").select("sample_id", F.col("y").cast("int").alias("y"), "_parts", F.col("_v.pos").alias("pos"), F.col("_v.value").alias("x"))
+    rows = stored(rows)
+    kinds = {f.name: f.dataType.simpleString() for f in splits.schema}
+    keyed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    each = rows.select("_parts", "y", F.explode(F.arrays_zip("pos", "x")).alias("_c")).groupBy("_parts", "y", F.col("_c.pos").alias("pos"))
+    x = F.col("_c.x")
+    sums = each.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    sums = sums.withColumn("_part", F.explode("_parts")).where("not _part.is_test").select(*[F.col(f"_part.{k}").alias(k) for k in keys], "y", "pos", "n", "m", "v", "lo", "hi")
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = _merged(pdf, ["pos"])
+        own = _merged(pdf, ["pos", "y"]).merge(whole, on="pos", suffixes=("", "_all"))
+        sd = np.where(own["lo_all"] == own["hi_all"], 1.0, np.sqrt(own["v_all"]))
+        sd = np.where(sd == 0, 1.0, sd)
+        out = {k: [v] for k, v in zip(keys, key, strict=True)}
+        put = lambda v: [np.asarray(v).tolist()]
+        out |= {"pos": put(own["pos"]), "c": put(own["y"]), "m": put((own["m"] - own["m_all"]) / sd), "v": put(own["v"] / sd**2), "mean": put(own["m_all"]), "sd": put(sd)}
+        return pd.DataFrame(out)
+
+    many = "pos array<int>, c array<int>, m array<double>, v array<double>, mean array<double>, sd array<double>"
+    models = stored(sums.groupBy(*keys).applyInPandas(merge, f"{keyed}, {many}"))
+
+    found = signatures.select(*on, "sig_id", "genes")
+    chunks = max(1, math.ceil((found.groupBy(*on).count().agg(F.max("count")).first()[0] or 0) / SIGNATURES))
+    found = found.withColumn("_chunk", F.pmod(F.xxhash64(F.element_at("genes", 1)), F.lit(chunks)).cast("int"))
+    units = models.select(*keys)
+    right = units.join(found, list(on)) if on else units.crossJoin(found)
+    right = right.unionByName(models.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), allowMissingColumns=True)
+    right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("_block")
+    place = F.when(F.size("pos") != len(known), F.col("pos")).when(F.size(F.array_distinct("pos")) != len(known), F.col("pos")).alias("pos")
+    left = rows.select("sample_id", "y", place, "x", block, F.explode("_parts").alias("_part")).where("_part.is_test")
+    left = left.select(*[F.col(f"_part.{k}").alias(k) for k in keys], "_block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"), "y", "pos", "x")
+    of = [*keys, "_block", "_chunk"]
+    columns = ["estimator", *keys, "sig_id", "y_true", "y_pred", "n"]
+    at = {name: k for k, name in enumerate(known)}
+
+    def walk(key: tuple, tests: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        model, wanted = pdf[pdf["sig_id"].isna()], pdf[pdf["sig_id"].notna()]
+        out = []
+        if len(tests) and len(model) and len(wanted):
+            losses, has, classes = _losses(tests, model.iloc[0], len(known), names)
+            for name in names:
+                out += [(name, *key[: len(keys)], *r) for r in _descend(losses[name], has, tests["y"].to_numpy(int), classes, at, wanted)]
+        return pd.DataFrame(out, columns=columns)
+
+    counts = left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(walk, f"estimator string, {keyed}, sig_id string, y_true int, y_pred int, n long")
+    return counts.groupBy("estimator", *keys, "sig_id", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+
+
+def _merged(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """by, m, v, lo, hi of all rows, from the counts, means and variances of parts of them."""
+    some = pdf.sort_values("n", ascending=False)
+    g = some.groupby(by)
+    n, first = g["n"].transform("sum"), g["m"].transform("first")
+    mean = first + (some["n"] * (some["m"] - first)).fillna(0).groupby([some[k] for k in by]).transform("sum") / n
+    gap = (some["n"] * (some["v"] + (some["m"] - mean) ** 2)).fillna(0)
+    made = some.assign(m=mean, v=gap.groupby([some[k] for k in by]).transform("sum") / n, lo=g["lo"].transform("min"), hi=g["hi"].transform("max"))
+    return made.groupby(by, as_index=False)[["m", "v", "lo", "hi"]].first()
+
+
+def _losses(tests: pd.DataFrame, model: pd.Series, width: int, names: tuple[str, ...]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The losses by name, each by (feature, sample, class), which of them are known, and the classes."""
+    classes, c = np.unique(model["c"], return_inverse=True)
+    pos = np.asarray(model["pos"])
+    m, v, fitted = np.full((width, len(classes)), np.nan), np.full((width, len(classes)), np.nan), np.zeros((width, len(classes)), bool)
+    m[pos, c], v[pos, c], fitted[pos, c] = np.asarray(model["m"], float), np.asarray(model["v"], float), True
+    mean, sd = np.full(width, np.nan), np.ones(width)
+    mean[pos], sd[pos] = np.asarray(model["mean"], float), np.asarray(model["sd"], float)
+    v = np.maximum(1e-9, v)[:, None, :]
+    of = {"centroid": lambda gap: gap * gap, "manhattan": np.abs, "naive_bayes": lambda gap: gap * gap / v + np.log(v)}
+    total, known = dict.fromkeys(names, 0.0), False
+    for x, has in _layers(tests, width):
+        gap = ((x - mean[:, None]) / sd[:, None])[:, :, None] - m[:, None, :]
+        known = known | (has[:, :, None] & fitted[:, None, :])
+        for name in names:
+            loss = of[name](gap)
+            total[name] = total[name] + np.where(np.isnan(loss), 0.0, loss)
+    return total, known, classes
+
+
+def _layers(tests: pd.DataFrame, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, present) by feature and sample; a further layer holds what a sample has again of a feature."""
+    made = [(np.full((width, len(tests)), np.nan), np.zeros((width, len(tests)), bool))]
+    for k, (pos, values) in enumerate(zip(tests["pos"], tests["x"], strict=True)):
+        values = np.asarray(values, float)
+        if pos is None:
+            made[0][0][:, k], made[0][1][:, k] = values, True
+            continue
+        again = np.arange(len(pos)) - np.searchsorted(pos, pos)
+        while len(made) <= again.max(initial=0):
+            made.append((np.full((width, len(tests)), np.nan), np.zeros((width, len(tests)), bool)))
+        for layer, (x, has) in enumerate(made):
+            some = again == layer
+            x[pos[some], k], has[pos[some], k] = values[some], True
+    return made
+
+
 def counted_summary(counts: DataFrame, keys: tuple[str, ...], split: str = "split") -> DataFrame:
     """``cv_summary`` of counted predictions."""
     hit = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))

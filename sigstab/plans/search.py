@@ -60,11 +60,17 @@ def folds(obs: DataFrame, k: int) -> DataFrame:
 TESTS = {"kruskal": stats.kruskal, "wilcoxon": stats.wilcoxon, "t_test": stats.t_test}
 
 
-def train_rows(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
+def kruskal_by_fold(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
+    """fold, feature, h, p of every fold's training rows, stored: the filter, a ranking and the signatures' mean p read it."""
+    return stored(stats.kruskal(obs.join(folds(obs, config.outer_folds), "sample_id").where("not outer"), ("fold",)))
+
+
+def train_rows(obs: DataFrame, config: RankConfig = RankConfig(), tested: DataFrame | None = None) -> DataFrame:
     """The training rows of every fold, with the features that pass the fold's filter and aren't correlated."""
     train = obs.join(folds(obs, config.outer_folds), "sample_id").where("not outer").drop("outer")
     if config.p_value is not None or config.fdr is not None:
-        tests = stats.benjamini_hochberg(TESTS[config.test](train, ("fold",)), ("fold",))
+        each = tested if tested is not None and config.test == "kruskal" else TESTS[config.test](train, ("fold",))
+        tests = stats.benjamini_hochberg(each, ("fold",))
         by_p = F.col("p") < config.p_value if config.p_value is not None else F.lit(True)
         if config.fdr is not None:
             enough = F.count_if(F.col("q") < config.fdr).over(Window.partitionBy("fold")) >= config.least_features
@@ -78,10 +84,17 @@ def train_rows(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
     return train
 
 
-def rank(obs: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
-    """fold, method, feature, score, pos. The training rows are cached or stored, since each method scans them; the small result is stored."""
-    rows = stored(train_rows(obs, config)) if config.fitted else train_rows(obs, config).cache()
-    scores = ranking.score(rows)
+def rank(obs: DataFrame, config: RankConfig = RankConfig(), tested: DataFrame | None = None) -> DataFrame:
+    """fold, method, feature, score, pos. The training rows are cached or stored, since each method scans them; the small result is stored.
+
+    ``tested`` is ``kruskal_by_fold`` of the same rows, if the caller has it: a feature's rows in a fold all stay or all go,
+    so the ranking by the test is that of the features left.
+    """
+    tested = kruskal_by_fold(obs, config) if tested is None else tested
+    rows = stored(train_rows(obs, config, tested)) if config.fitted else train_rows(obs, config, tested).cache()
+    left = rows.select("fold", "feature").distinct()
+    known = {"t1_kruskal": lambda _, by: tested.join(left, ["fold", "feature"], "left_semi").select(*by, "feature", F.col("h").alias("score"))}
+    scores = ranking.score(rows, methods=ranking.scorers() | known)
     if config.fitted:
         scores = scores.unionByName(linear.rank(rows, config.inner_parts, config.subsamples))
         scores = scores.unionByName(forest.rank(rows, config.inner_parts, config.subsamples, config.trees))
@@ -108,28 +121,27 @@ def search(obs: DataFrame, config: SignatureConfig = SignatureConfig(), ranks: R
     if ranks.check:
         resample.check_classes(obs, ranks.outer_folds)
     most = resample.feature_limit(obs, config.most_features)
-    ranked = rank(obs, ranks) if ranked is None else ranked
+    tested = kruskal_by_fold(obs, ranks)
+    ranked = rank(obs, ranks, tested) if ranked is None else ranked
     found = signatures.prefixes(ranked, most)
     for k in (*config.combinations, *config.sampled):
         limit = config.samples * k if k in config.sampled else None
         found = found.unionByName(signatures.combinations(ranked, most, k, limit))
     unique = stored(signatures.catalogue(found))
-    outer = folds(obs, ranks.outer_folds)
     splits = inner_splits(obs, ranks, config.inner_splits)
     used = unique.select(F.explode("genes").alias("feature")).distinct()
-    d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"))
-    scored = evaluate.counted_summary(evaluate.trie_confusion(d, unique, ("fold", "split"), ("fold",), blocks_of(obs), splits), ("fold", "sig_id"))
+    counts = evaluate.packed_confusion(obs.join(used, "feature", "left_semi"), splits, unique, ("fold", "split"), ("fold",), ("centroid",), blocks_of(obs))
+    scored = evaluate.counted_summary(counts, ("fold", "sig_id"))
     freq = ranking.top_counts(ranked, config.top_frequency).join(ranked.groupBy("fold").agg(F.count_distinct("method").alias("m")), "fold").select("fold", "feature", (F.col("n") / F.col("m")).alias("freq"))
-    train = obs.join(outer, "sample_id").where("not outer")
-    full = signatures.with_means(unique, freq, stats.kruskal(train, ("fold",)))
+    full = signatures.with_means(unique, freq, tested)
     return found, stored(signatures.adjusted(full.join(scored, ["fold", "sig_id"])))
 
 
 def rescore(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig()) -> DataFrame:
     """``found`` with cv_mean and cv_std of k inner splits instead of its own, and adjusted from these."""
     used, splits = found.select(F.explode("genes").alias("feature")).distinct(), inner_splits(obs, ranks, k)
-    d = evaluate.feature_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"))
-    scores = evaluate.counted_summary(evaluate.trie_confusion(d, found, ("fold", "split"), ("fold",), blocks_of(obs), splits), ("fold", "sig_id"))
+    counts = evaluate.packed_confusion(obs.join(used, "feature", "left_semi"), splits, found, ("fold", "split"), ("fold",), ("centroid",), blocks_of(obs))
+    scores = evaluate.counted_summary(counts, ("fold", "sig_id"))
     return signatures.adjusted(found.drop("cv_mean", "cv_std", "adjusted").join(scores, ["fold", "sig_id"]))
 
 
@@ -152,9 +164,7 @@ def with_correlates(obs: DataFrame, chosen: DataFrame, groups: DataFrame, config
 def estimator_scores(obs: DataFrame, found: DataFrame, k: int, ranks: RankConfig = RankConfig(), names: tuple[str, ...] = evaluate.ESTIMATORS) -> DataFrame:
     """fold, sig_id, estimator, cv_mean, cv_std of every estimator in k inner splits: one pass, with estimators as keys."""
     used, splits = found.select(F.explode("genes").alias("feature")).distinct(), inner_splits(obs, ranks, k)
-    d = evaluate.estimator_distances(obs.join(used, "feature", "left_semi"), splits, ("fold", "split"), names)
-    units = splits.withColumn("estimator", F.explode(F.array(*map(F.lit, names))))
-    counts = evaluate.trie_confusion(d, found, ("estimator", "fold", "split"), ("fold",), blocks_of(obs), units)
+    counts = evaluate.packed_confusion(obs.join(used, "feature", "left_semi"), splits, found, ("fold", "split"), ("fold",), names, blocks_of(obs))
     return evaluate.counted_summary(counts, ("fold", "sig_id", "estimator"))
 
 
