@@ -137,10 +137,18 @@ def _fit(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _by_class(rows: DataFrame, same: tuple[str, ...], each: tuple[str, ...]) -> DataFrame:
+    """One row for each class: columns that its rows share, and the others as a list ``each``, for joins by class.
+
+    A class has a row for each of its bands or tables, and for each unit of these, so the lists are short.
+    """
+    return rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in same], F.collect_list(F.struct(*each)).alias("each"))
+
+
 def _open(buckets: DataFrame, rooted: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: band, key, cls, root, main (the root of the most shingles), and
     in how many chunks the bucket's members (targets) and those outside its main component (probes) are dealt."""
-    rows = buckets.where("many > 2").select("band", "key", "cls", "n").join(rooted, "cls")
+    rows = checkpointed(_by_class(buckets.where("many > 2"), ("n",), ("band", "key")).join(rooted, "cls")).select("cls", "n", "root", F.inline("each"))
     parts = rows.groupBy("band", "key", "root").agg(F.sum("n").alias("part"))
     state = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.sum("part").alias("all"), F.max(F.struct("part", "root")).alias("top")).where("roots > 1")
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / UNIT))
@@ -158,7 +166,7 @@ def _inside(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     to = members.select("band", "key", "cls", "n", "root", F.lit(False).alias("probe"), mine("targets").alias("t"), every("probes").alias("p"))
     out = members.where("root <> main").select("band", "key", "cls", "n", "root", F.lit(True).alias("probe"), mine("probes").alias("p"), every("targets").alias("t"))
-    units = to.unionByName(out).select("cls", "root", "probe", F.xxhash64("band", "key", "t", "p").alias("unit"))
+    units = _by_class(to.unionByName(out).select("cls", "root", "probe", F.xxhash64("band", "key", "t", "p").alias("unit")), ("root",), ("probe", "unit"))
     mass = members.agg(F.sum("n")).first()[0] or 0
     cells = max(1, math.ceil(mass / CELL))
 
@@ -174,7 +182,7 @@ def _inside(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 found += [(int(cls[a]), int(cls[b])) for a, b in _forest(hashes[lo:hi], first - lo, root[lo:hi], percent) + lo]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    rows = units.join(sets, "cls").withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
+    rows = units.join(sets, "cls").select("cls", "root", "hashes", F.inline("each")).withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
     return rows.groupBy("cell").applyInPandas(walk, "a long, b long")
 
 

@@ -98,3 +98,21 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     assert kept.columns == docs.columns
     of = {r["doc_id"]: r["component_id"] for r in simhash_tables.near_duplicates(docs).collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(of.values()))
+
+
+def test_joins_by_class_make_a_row_for_each_class(spark, monkeypatch):
+    """A family of near copies is in many tables; its sets and roots are joined once for each text, not once for each table."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(f"v{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in words) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, by_class = [], minhash._by_class
+
+    def seen(rows, same, each):
+        out = by_class(rows, same, each)
+        made.append((rows.count(), out.count(), rows.select("cls").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_by_class", seen)
+    check(docs)
+    assert len(made) == 2 and all(rows > 2 * out and out == classes for rows, out, classes in made)
