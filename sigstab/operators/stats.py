@@ -295,6 +295,8 @@ def correlation_groups(tests: DataFrame, cut: float = 0.9, alpha: float = 0.05)
 
 #: Samples in a block of the pairwise comparisons; two blocks meet in one task.
 BLOCK = 1024
+#: Samples in a block of the search for neighbours, and how many of them are asked at once.
+NEAR_BLOCK, ASKED = 4096, 256
 
 
 def _packed(obs: DataFrame) -> tuple[DataFrame, int]:
@@ -317,6 +319,35 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(seen, total, np.nan))
 
 
+def _closest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): each row's k nearest rows of y with another id, the first among equals.
+
+    Of complete rows, a matrix product finds all that its rounding leaves among the k nearest, and only these are measured.
+    """
+    same = a[:, None] == b[None, :]
+    sizes, others = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    slack = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (sizes + others.max())
+    if not np.isfinite(slack).all():
+        d = _apart(x, y)
+        d[same] = np.nan
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        m, n = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+        has = ~np.isnan(d[m, n])
+        return m[has], n[has], d[m, n][has]
+    g = sizes[:, None] + others[None, :] - 2 * (x @ y.T)
+    g[same] = np.inf
+    m, n = np.nonzero((g <= (np.partition(g, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + slack)[:, None]) & ~same)
+    total = np.zeros(len(m))
+    for f in range(x.shape[1]):
+        d = x[m, f] - y[n, f]
+        total += d * d
+    d = np.sqrt(total)
+    order = np.lexsort((n, d, m))
+    m, n, d = m[order], n[order], d[order]
+    has = np.arange(len(m)) - np.searchsorted(m, m) < k
+    return m[has], n[has], d[has]
+
+
 def _stack(pdf: pd.DataFrame) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in pdf["x"]])
 
@@ -350,25 +381,27 @@ def nearest(obs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Blocks of queries meet blocks of samples; a group gives each query's k best, and the best of these remain.
     """
-    rows, blocks = _packed(obs)
+    rows, _ = _packed(obs)
     kind = obs.schema["sample_id"].dataType.simpleString()
-    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asked = rows.join(queries.select("sample_id").distinct(), "sample_id", "left_semi")
-    left = asked.select(F.lit(True).alias("asked"), "sample_id", "x", block.cast("long").alias("i"), every.alias("j"))
-    right = rows.select(F.lit(False).alias("asked"), "sample_id", "x", every.alias("i"), block.cast("long").alias("j"))
+    wanted = queries.select("sample_id").distinct()
+    over, under = (max(1, -(-df.count() // NEAR_BLOCK)) for df in (wanted, obs.select("sample_id").distinct()))
+    block = lambda n: F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = rows.join(wanted, "sample_id", "left_semi")
+    left = asked.select(F.lit(True).alias("asked"), "sample_id", "x", block(over).alias("i"), every(under).alias("j"))
+    right = rows.select(F.lit(False).alias("asked"), "sample_id", "x", every(over).alias("i"), block(under).alias("j"))
 
     def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_id")
         p, q = pdf[pdf["asked"]], pdf[~pdf["asked"]]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": pdf["sample_id"][:0], "b": pdf["sample_id"][:0], "d": np.zeros(0)})
-        d, a, b = _apart(_stack(p), _stack(q)), p["sample_id"].to_numpy(), q["sample_id"].to_numpy()
-        d[a[:, None] == b[None, :]] = np.nan
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        m, n = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
-        has = ~np.isnan(d[m, n])
-        return pd.DataFrame({"a": a[m][has], "b": b[n][has], "d": d[m, n][has]})
+        x, y, a, b = _stack(p), _stack(q), p["sample_id"].to_numpy(), q["sample_id"].to_numpy()
+        parts = []
+        for at in range(0, len(a), ASKED):
+            m, n, d = _closest(x[at : at + ASKED], y, a[at : at + ASKED], b, k)
+            parts.append(pd.DataFrame({"a": a[at + m], "b": b[n], "d": d}))
+        return pd.concat(parts)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(best, f"a {kind}, b {kind}, d double")
     return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
