@@ -92,3 +92,20 @@ def test_packing_thousands_of_features_takes_seconds(spark):
     assert len(rows) == 20 and all(len(r["features"]) == 8000 for r in rows) and time.time() - began < 20
     some = models.pack(obs.where("feature <> 'f00002'"), names[:5][::-1], scaled=False).collect()
     assert all(r["features"][2] == 0 and r["features"][0] > 0 for r in some)
+
+
+def test_rows_are_stored_before_they_are_lifted(spark, monkeypatch):
+    """What the passes over Fourier features read is as wide as the matrix, not as the features."""
+    kept, whole = [], kernel.stored
+
+    def seen(df):
+        kept.append(df.columns)
+        if "sample_id" in df.columns:
+            kept.append({len(r["x"]) for r in df.select("x").collect()})
+        return whole(df)
+
+    monkeypatch.setattr(kernel, "stored", seen)
+    x, y = rings(60)
+    obs = obs_of(spark, x, y)
+    models.kernel_classifier(obs, obs, gamma=0.7, c=10.0, most=10).collect()
+    assert {2} in kept and all("pos" not in k for k in kept)
