@@ -145,25 +145,27 @@ def links(fps: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
     masks = [[sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(d), r)] for d in range(1, SPLIT + 1)]
     deep = F.expr(f"shiftrightunsigned(v, {BITS - QUARTER} - more)")
     each = F.when(F.col("more").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.element_at(F.lit(masks).cast("array<array<long>>"), F.col("more")))
+    deepest = QUARTER + SPLIT
     sides = (
-        rows.join(hot, ["turn", "place"], "left")
+        rows.join(F.broadcast(hot), ["turn", "place"], "left")  # a row for each HOT * node fingerprints, at most
         .select("turn", "v", F.coalesce(F.col("more") + QUARTER, F.lit(top)).alias("depth"), F.coalesce(deep, F.col("place")).alias("p"), F.explode(each).alias("m"))
-        .withColumn("q", F.col("p").bitwiseXOR(F.col("m")))
-        .select("turn", "depth", "v", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("right"))
+        .select("v", F.expr(f"shiftleft(cast(turn AS long), {deepest + SPLIT + 6}) | shiftleft(cast(depth AS long), {deepest + SPLIT}) | shiftleft(m, {deepest}) | least(p, p ^ m)").alias("pair"))
     )
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        turn, depth, lo, hi = map(int, key)
-        values, right = pdf["v"].to_numpy(np.int64).view(np.uint64), pdf["right"].to_numpy(bool)
-        a, b = np.sort(values[~right]), None if lo == hi else np.sort(values[right])
-        label = trie_forest(a, b, depth, (lo ^ hi).bit_count(), budget, QUARTER)
+        """A pair of nodes: the turn and depth, the bits in which the nodes differ, and the smaller one; values begin with their node."""
+        lo, m, depth, turn = (int(key[0]) >> k & (1 << n) - 1 for k, n in ((0, deepest), (deepest, SPLIT), (deepest + SPLIT, 6), (deepest + SPLIT + 6, 2)))
+        values = pdf["v"].to_numpy(np.int64).view(np.uint64)
+        right = values >> np.uint64(BITS - depth) != lo if m else np.zeros(len(values), bool)
+        a, b = np.sort(values[~right]), np.sort(values[right]) if m else None
+        label = trie_forest(a, b, depth, m.bit_count(), budget, QUARTER)
         both = a if b is None else np.concatenate([a, b])
         back = QUARTER * turn
         both = ((both >> np.uint64(back)) | (both << np.uint64(BITS - back)) if back else both).view(np.int64)
         k = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": both[k], "b": both[label[k]]})
 
-    return sides.groupBy("turn", "depth", "lo", "hi").applyInPandas(walk, "a long, b long")
+    return sides.groupBy("pair").applyInPandas(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,7 +214,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     packed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(F.col(text_col))).alias("mark"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
     prints = checkpointed(fingerprints(packed, ("id", "mark"), "text"))
     best = prints.join(_rooted(prints, "id"), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = best.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.col("k.id").alias("i"), F.col("k.mark").alias("m")).distinct()
-    rows = packed.select("id", "mark", "row").join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi")
-    one = Window.partitionBy("id", "mark").orderBy(F.lit(0))
+    stay = best.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.struct("k.id", "k.mark").alias("key"))
+    key = F.struct("id", "mark").cast(stay.schema["key"].dataType)  # with another type the window would shuffle whole rows again
+    rows = packed.select(key.alias("key"), "row").join(stay, "key", "left_semi")
+    one = Window.partitionBy("key").orderBy(F.lit(0))
     return rows.withColumn("number", F.row_number().over(one)).where("number = 1").select("row.*")

@@ -95,9 +95,13 @@ def signatures(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
 def _buckets(classes: DataFrame) -> DataFrame:
     """band, key, cls, n for every class of a component of a table that has several, many of them, and its least class."""
     rows = classes.select("cls", "n", F.explode("sig").alias("fp"))
-    roots = components(links(checkpointed(rows.select("fp").distinct()), node=NODE))
-    keyed = rows.join(roots, rows["fp"] == roots["node"], "left").select("cls", "n", F.coalesce("root", "fp").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cls").alias("least")).where("many > 1")
+    met = checkpointed(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("many")))
+    roots = components(links(met.select("fp"), node=NODE))
+    linked = roots.union(roots.select("root", "root").distinct())  # with the roots, of which ``components`` has no rows
+    several = met.where("many > 1").select("fp")
+    found = several.join(linked, several["fp"] == linked["node"], "full").select(F.coalesce("node", "fp").alias("fp"), F.coalesce("root", "fp").alias("key"))
+    keyed = checkpointed(rows.join(found, "fp").select("cls", "n", "key"))  # most prints have no other class, and go no further
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cls").alias("least"))
     return keyed.join(shared, "key").select(F.lit(0).alias("band"), "key", "cls", "n", "many", "least")
 
 
@@ -130,8 +134,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = _keyed(docs, id_col, text_col)
     found = checkpointed(signatures(packed.drop("row"), ("id", "h1", "h2"), "text"))
     rooted = _rooted(docs, found, id_col, text_col, percent)
-    stay = rooted.groupBy("root").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("k")).select(F.col("k.id").alias("i"), F.col("k.h1").alias("m1"), F.col("k.h2").alias("m2")).distinct()
-    rows = packed.select("id", "h1", "h2", "row")
-    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left_semi")
-    one = Window.partitionBy("id", "h1", "h2").orderBy(F.lit(0))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("k")).select(F.struct("k.id", "k.h1", "k.h2").alias("key"))
+    key = F.struct("id", "h1", "h2").cast(stay.schema["key"].dataType)  # with another type the window would shuffle whole rows again
+    rows = packed.select(key.alias("key"), "row").join(stay, "key", "left_semi")
+    one = Window.partitionBy("key").orderBy(F.lit(0))
     return rows.withColumn("number", F.row_number().over(one)).where("number = 1").select("row.*")

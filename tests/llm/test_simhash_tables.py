@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sigstab.llm import minhash, simhash_tables
+from sigstab.llm import minhash, simhash, simhash_tables
 
 from . import odd
 from .test_minhash import brute_set
@@ -116,3 +116,36 @@ def test_joins_by_class_make_a_row_for_each_class(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_by_class", seen)
     check(docs)
     assert len(made) == 2 and all(rows > 2 * out and out == classes for rows, out, classes in made)
+
+
+def test_whole_rows_are_shuffled_once(spark, small):
+    plan = simhash_tables.deduplicate(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Join" in plan
+    assert "Exchange" not in plan[: plan.index("Join")]  # nothing is dealt again between the join and the window above it
+
+
+def test_links_of_families_and_of_split_nodes(spark):
+    """Prints alone and families around a root, with groups so small that nodes are split."""
+    draw = random.Random(5)
+    flip = lambda x, k: x ^ sum(1 << b for b in draw.sample(range(64), k))
+    base = [draw.getrandbits(64) for _ in range(30)]
+    values = {x for f in base for x in [f, *(flip(f, draw.randint(1, 3)) for _ in range(6))]} | {draw.getrandbits(16) | 7 << 48 for _ in range(200)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    near = {x: x for x in values}
+
+    def find(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for x, y in combinations(sorted(values), 2):
+        if (x ^ y).bit_count() <= simhash.BUDGET:
+            near[find(x)] = find(y)
+    for node in (4, simhash.NODE):
+        fps = spark.createDataFrame([(signed(x),) for x in values], "fp long")
+        edges = simhash.links(fps, node=node)
+        got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+        groups = {}
+        for x in values:
+            groups.setdefault(got.get(signed(x), signed(x)), set()).add(find(x))
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({find(x) for x in values})
