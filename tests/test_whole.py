@@ -33,6 +33,18 @@ def test_distances_over_shared_features(spark):
     assert got == {(1, 2): 3.0, (1, 3): 4.0, (1, 4): 5.0, (2, 4): 0.0, (3, 4): 0.0}
 
 
+def test_distances_send_few_copies(spark, monkeypatch):
+    """As many blocks as give work to all, and no more: a sample is copied once for each block."""
+    for name, value in (("BLOCK", 10), ("SOME", 3), ("MANY", 80), ("AT_ONCE", 50), ("NEAR_BY", 64)):
+        monkeypatch.setattr(stats, name, value)
+    x = np.random.default_rng(1).normal(size=(300, 3))
+    obs = spark.createDataFrame([(i, f"f{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "sample_id long, feature string, value double")
+    assert stats._packed(obs)[1] == 4  # 30 blocks of 10 samples before
+    got = {(r["a"], r["b"]): r["d"] for r in stats.distances(obs).collect()}
+    want = {(i, j): float(np.sqrt(((x[i] - x[j]) ** 2).sum())) for i in range(300) for j in range(i + 1, 300)}
+    assert got.keys() == want.keys() and all(abs(got[k] - d) < 1e-12 for k, d in want.items())
+
+
 def test_leave_one_out_of_all_samples(spark, small, cells):
     ids, y, x = cells
     got = {r["sample_id"]: r["y_pred"] for r in catalog.QUERIES["leave_one_out_centroid_whole"](spark, small).collect()}
