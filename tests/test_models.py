@@ -153,3 +153,14 @@ def test_scaling_by_joined_moments(spark):
     got = {r["sample_id"]: r["value"] for r in scaling.zscore(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: -1.0, 1: 1.0, 2: None, 3: 0.0, 4: 0.0}
     assert scaling.min_max(spark.createDataFrame(rows, SCHEMA)).count() == 5
+
+
+def test_packing_deals_the_matrix_once_and_fits_read_few_parts(spark, small):
+    obs = matrix.embeddings(spark, small, 3)
+    names = models.names_of(obs)
+    rows = models.pack(obs, names)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # not by feature as well
+    few = models.in_few_parts(rows.repartition(40), 1)
+    assert few.rdd.getNumPartitions() == min(40, spark.sparkContext.defaultParallelism)
+    x = np.stack([r["features"].toArray() for r in rows.orderBy("sample_id").collect()])
+    assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1, atol=1e-9)
