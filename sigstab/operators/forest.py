@@ -38,7 +38,7 @@ HELD = 8_000_000
 def cuts(train: DataFrame, places: DataFrame) -> dict[int, np.ndarray]:
     """By fold: the inner cuts of each feature, at approximate quantiles; one row of a few numbers a feature comes back."""
     q = F.percentile_approx(F.coalesce("value", F.lit(0.0)), F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), F.lit(2000))
-    found = train.join(places, ["fold", "feature"]).groupBy("fold", "pos").agg(q.alias("q")).collect()
+    found = train.join(F.broadcast(places), ["fold", "feature"]).groupBy("fold", "pos").agg(q.alias("q")).collect()
     out = {f: np.full((1 + max(r["pos"] for r in found if r["fold"] == f), BINS - 1), np.inf) for f in {r["fold"] for r in found}}
     for r in found:
         out[r["fold"]][r["pos"]] = r["q"]

@@ -178,3 +178,12 @@ def test_features_without_spread_and_missing_values(spark):
     weight = {(r["method"], r["feature"]): r["score"] for r in got}
     for e in linear.ESTIMATORS:
         assert abs(weight[f"t3_weights_{e}", "f01"]) < 1e-9 < weight[f"t3_weights_{e}", "f00"]
+
+
+def test_places_are_not_joined_by_a_shuffle_of_the_matrix(spark):
+    rows = [(0, i, i % 2, f"f{j}", float(i * j)) for i in range(8) for j in range(3)]
+    train = spark.createDataFrame(rows, "fold int, sample_id long, y int, feature string, value double")
+    plan = linear.packed(train, 2, 0)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "fold#" in plan and "hashpartitioning(fold" in plan
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "feature" in line]
+    assert not joins
