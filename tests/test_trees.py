@@ -78,6 +78,37 @@ def slow_order(d):
     return clusters[0]
 
 
+@pytest.mark.parametrize("n,few,listed,seed", [(60, 16, 8, 0), (400, 16, 2, 1), (700, 300, 64, 2), (90, 3, 89, 3)])
+def test_joining_without_a_matrix_equals_that_with_one(n, few, listed, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 6)) + 5
+    x[: n // 3] *= 0.3
+    points, names = trees._Points(x), [str(k) for k in range(n)]
+    d = points.apart(np.arange(n))
+    assert np.abs(d - stats._apart(x, x)).max() < 1e-9
+    want = trees.midpoint_newick(trees.neighbour_joining(d, names), names)
+    total, d = d.sum(axis=1), np.where(np.eye(n, dtype=bool), np.inf, d)
+    near = np.argsort(d - total / (n - 2), axis=1)[:, :listed]
+    edges = trees.join_points(points, total, near, np.take_along_axis(d, near, axis=1), few)
+    assert trees.midpoint_newick(edges, names) == want
+
+
+@pytest.mark.parametrize("whole", [0, 20, 4096])
+@pytest.mark.parametrize("lacking", [False, True])
+def test_a_tree_of_samples_needs_no_row_for_a_pair(spark, whole, lacking):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 5))
+    if lacking:  # some share no feature with the first two, the last has none
+        x[rng.random(x.shape) < 0.1] = np.nan
+        x[0], x[1], x[149] = [1, np.nan, np.nan, np.nan, np.nan], [np.nan, 2, np.nan, np.nan, np.nan], np.nan
+    obs = obs_of(spark, x, np.arange(150) % 3).where("not isnan(value)")
+    d, n = stats._apart(x, x), 150 - lacking
+    assert np.isnan(d[0, 1]) == lacking
+    want = trees.sample_tree(spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(i)], "a long, b long, d double")).collect()
+    assert trees.points_tree(obs, whole).collect() == want
+    assert trees.points_tree(obs.where("sample_id = 3"), whole).count() == 0
+
+
 def test_cluster_orders_equal_those_of_all_pairs():
     for seed in range(12):
         x = np.random.default_rng(seed).normal(size=(1 + 2 * seed, 3))
