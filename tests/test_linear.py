@@ -1,5 +1,7 @@
 """Rankings from summed cross products against plain numpy on the rows themselves."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +170,35 @@ def test_single_features_and_decrease_against_the_rows(spark, data, found):
     assert lost[0] > 0.1 and max(np.abs(lost[2:])) < lost[0] and all(v <= np.mean(base) + 1e-9 for v in lost)
 
 
+def test_decrease_has_no_row_for_a_permuted_value_and_a_model(spark, data, found, monkeypatch):
+    _, fits, members = found
+    x, y = data[0]
+    out = linear.rank(table(spark, data[:1]), PARTS, 0, reps=2, estimators=("ridge",), types=("t6_decrease",))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    want = np.zeros(x.shape[1])
+    for s in range(1, PARTS + 1):
+        train = np.array([i for i, _ in members[0, s]])
+        test = np.setdiff1d(np.arange(len(y)), train)
+        w, level = np.zeros((x.shape[1], len(np.unique(y)))), np.zeros(len(np.unique(y)))
+        for r in fits:
+            if (r["fold"], r["estimator"], r["kind"], r["set"]) == (0, "ridge", "model", s):
+                if r["pos"] < 0:
+                    level[r["c"]] = r["b"]
+                else:
+                    w[r["pos"], r["c"]] = r["w"]
+        hits = lambda z, test=test, w=w, level=level: ((z @ w + level).round(9).argmax(axis=1) == y[test]).mean()
+        for j in range(x.shape[1]):
+            for rep in range(2):
+                z = x[test].copy()
+                z[:, j] = z[sorted(range(len(test)), key=lambda k: hashlib.md5(f"0|0|{s}|f{j:02}|{rep}|{test[k]}".encode()).hexdigest()), j]
+                want[j] += (hits(x[test]) - hits(z)) / PARTS / 2
+    first = {r["feature"]: r["score"] for r in out.collect()}
+    assert np.allclose([first[f"f{j:02}"] for j in range(x.shape[1])], want)
+    monkeypatch.setattr(linear, "BLOCK", 7)
+    assert {r["feature"]: r["score"] for r in linear.rank(table(spark, data[:1]), PARTS, 0, reps=2, estimators=("ridge",), types=("t6_decrease",)).collect()} == pytest.approx(first, abs=1e-12)
+
+
 def test_features_without_spread_and_missing_values(spark):
     x, y = np.zeros((30, 3)), np.arange(30) % 2
     x[:, 0] = y + np.linspace(0, 0.3, 30)
