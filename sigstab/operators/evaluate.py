@@ -7,6 +7,7 @@ sums over its features. Distances are rounded to nine digits, and ties go to the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,9 +125,19 @@ def _walk(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
 def _descend(loss: np.ndarray, known: np.ndarray, truth: np.ndarray, classes: np.ndarray, place: dict, right: pd.DataFrame) -> list[tuple]:
     """``_walk`` for losses by (feature, sample, class), and whether they are known."""
     width = int(classes.max()) + 1
+    out = []
+    for name, total, seen in _added_up(loss, known, place, right):
+        some_class = seen.any(axis=1)
+        pred = classes[np.where(seen, np.round(total, 9), np.inf).argmin(axis=1)]
+        count = np.bincount((truth * width + pred)[some_class])
+        out += [(name, int(x // width), int(x % width), int(count[x])) for x in np.flatnonzero(count)]
+    return out
+
+
+def _added_up(loss: np.ndarray, known: np.ndarray, place: dict, right: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(sig_id, losses by sample and class, whether any is known) of the signatures, from a walk of their trie."""
     path: list[int] = []
     sums: list[tuple[np.ndarray, np.ndarray]] = []
-    out = []
     genes = [(tuple(place[g] for g in some if g in place), name) for some, name in zip(right["genes"], right["sig_id"], strict=True)]
     for some, name in sorted(genes):
         if not some:
@@ -139,12 +150,7 @@ def _descend(loss: np.ndarray, known: np.ndarray, truth: np.ndarray, classes: np
             before = sums[-1] if sums else (0.0, False)
             path.append(j)
             sums.append((before[0] + loss[j], before[1] | known[j]))
-        total, seen = sums[-1]
-        some_class = seen.any(axis=1)
-        pred = classes[np.where(seen, np.round(total, 9), np.inf).argmin(axis=1)]
-        count = np.bincount((truth * width + pred)[some_class])
-        out += [(name, int(x // width), int(x % width), int(count[x])) for x in np.flatnonzero(count)]
-    return out
+        yield name, *sums[-1]
 
 
 def packed_confusion(obs: DataFrame, splits: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = (), names: tuple[str, ...] = ESTIMATORS, blocks: int = 1) -> DataFrame:
@@ -155,6 +161,95 @@ def packed_confusion(obs: DataFrame, splits: DataFrame, signatures: DataFrame, k
     merges these sums to means and deviations. A unit (block of a split's test samples, chunk of the signatures) works out
     the losses, so there is no row for a sample, feature and class.
     """
+    left, right, of, keyed, known = _units(obs, splits, signatures, keys, on, blocks)
+    columns = ["estimator", *keys, "sig_id", "y_true", "y_pred", "n"]
+    at = {name: k for k, name in enumerate(known)}
+
+    def walk(key: tuple, tests: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        model, wanted = pdf[pdf["sig_id"].isna()], pdf[pdf["sig_id"].notna()]
+        out = []
+        if len(tests) and len(model) and len(wanted):
+            losses, has, classes = _losses(tests, model.iloc[0], len(known), names)
+            for name in names:
+                out += [(name, *key[: len(keys)], *r) for r in _descend(losses[name], has, tests["y"].to_numpy(int), classes, at, wanted)]
+        return pd.DataFrame(out, columns=columns)
+
+    counts = left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(walk, f"estimator string, {keyed}, sig_id string, y_true int, y_pred int, n long")
+    return counts.groupBy("estimator", *keys, "sig_id", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+
+
+def packed_shares(obs: DataFrame, splits: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("split",), on: tuple[str, ...] = (), names: tuple[str, ...] = ESTIMATORS, blocks: int = 1) -> DataFrame:
+    """estimator, keys, sig_id, c (the classes), y, pred, p: a row for each unit of ``packed_confusion``, signature and estimator.
+
+    y and pred are arrays over the unit's samples, and p over these and the classes in turn: ``probabilities``, in units of
+    the ninth digit; null where a class has none of the signature's features.
+    """
+    left, right, of, keyed, known = _units(obs, splits, signatures, keys, on, blocks)
+    at = {name: k for k, name in enumerate(known)}
+
+    def walk(key: tuple, tests: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        model, wanted = pdf[pdf["sig_id"].isna()], pdf[pdf["sig_id"].notna()]
+        out = []
+        if len(tests) and len(model) and len(wanted):
+            losses, has, classes = _losses(tests, model.iloc[0], len(known), names)
+            y = tests["y"].to_numpy(np.int32)
+            for name in names:
+                for sig, total, seen in _added_up(losses[name], has, at, wanted):
+                    some = np.flatnonzero(seen.any(axis=1))
+                    if not len(some):
+                        continue
+                    d = np.where(seen, total, np.inf)[some]
+                    pred = classes[d.round(9).argmin(axis=1)]
+                    e = np.exp((d.min(axis=1, keepdims=True) - d) / 2)
+                    p = np.rint(e / e.sum(axis=1, keepdims=True) * 1e9).astype(np.int32)
+                    out.append((name, *key[: len(keys)], sig, classes.astype(np.int32), y[some], pred.astype(np.int32), np.where(seen[some], p, NEVER).ravel()))
+        return pd.DataFrame(out, columns=["estimator", *keys, "sig_id", "c", "y", "pred", "p"])
+
+    return left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(walk, f"estimator string, {keyed}, sig_id string, c array<int>, y array<int>, pred array<int>, p array<int>")
+
+
+#: In place of a probability: the class has none of the signature's features.
+NEVER = np.int32(-1)
+
+
+def shares_metrics(shares: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``metrics`` and ``probability_metrics`` of ``packed_shares``; a group has the arrays of one of ``keys``, 4 bytes a class and sample."""
+    kinds = {f.name: f.dataType.simpleString() for f in shares.schema}
+    keyed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(np.repeat(y, len(c)), np.tile(c, len(y)), np.asarray(p)) for c, y, p in zip(pdf["c"], pdf["y"], pdf["p"], strict=True)]
+        y, c, p = (np.concatenate(x) for x in zip(*rows, strict=True))
+        y, c, p = y[p >= 0], c[p >= 0], p[p >= 0]
+        true, pred = np.concatenate(pdf["y"].to_list()), np.concatenate(pdf["pred"].to_list())
+        cells, n = np.unique(np.stack([true, pred]), axis=1, return_counts=True)
+        auc, ap = [], []
+        for k in np.unique(c):
+            value, place = np.unique(-p[c == k], return_inverse=True)
+            hit = y[c == k] == k
+            pos, neg = np.bincount(place[hit], minlength=len(value)), np.bincount(place[~hit], minlength=len(value))
+            tp, fp, n1, n0 = pos.cumsum(), neg.cumsum(), pos.sum(), neg.sum()
+            if n1 and n0:
+                auc.append((pos * (n0 - fp + neg / 2)).sum() / (float(n1) * n0))
+                ap.append((pos * tp / (tp + fp)).sum() / n1)
+        own = p[y == c] / 1e9
+        if not len(own):
+            return pd.DataFrame(columns=[*keys, "y_true", "y_pred", "n", "log_loss", "roc_auc", "average_precision"])
+        some = {k: [v] for k, v in zip(keys, key, strict=True)} | {"y_true": [cells[0]], "y_pred": [cells[1]], "n": [n]}
+        mean = lambda v: [np.mean(v) if len(v) else None]
+        return pd.DataFrame(some | {"log_loss": [-np.log(np.maximum(own, 1e-15)).mean()], "roc_auc": mean(auc), "average_precision": mean(ap)})
+
+    made = shares.groupBy(*keys).applyInPandas(measure, f"{keyed}, y_true array<int>, y_pred array<int>, n array<long>, log_loss double, roc_auc double, average_precision double")
+    from ..functions.storage import stored
+
+    made = stored(made)
+    cells = made.select(*keys, F.explode(F.arrays_zip("y_true", "y_pred", "n")).alias("x")).select(*keys, "x.*")
+    return metrics(cells, keys).join(made.drop("y_true", "y_pred", "n"), list(keys))
+
+
+def _units(obs: DataFrame, splits: DataFrame, signatures: DataFrame, keys: tuple[str, ...], on: tuple[str, ...], blocks: int) -> tuple[DataFrame, DataFrame, list[str], str, list[str]]:
+    """The two sides of the units of ``packed_confusion`` (packed test samples; signatures and models), the columns that name a
+    unit, the schema of ``keys``, and the features in the order of their places."""
     from ..functions.storage import stored
 
     known = [r[0] for r in obs.select("feature").distinct().orderBy("feature").collect()]
@@ -196,21 +291,7 @@ def packed_confusion(obs: DataFrame, splits: DataFrame, signatures: DataFrame, k
     place = F.when(F.size("pos") != len(known), F.col("pos")).when(F.size(F.array_distinct("pos")) != len(known), F.col("pos")).alias("pos")
     left = rows.select("sample_id", "y", place, "x", block, F.explode("_parts").alias("_part")).where("_part.is_test")
     left = left.select(*[F.col(f"_part.{k}").alias(k) for k in keys], "_block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"), "y", "pos", "x")
-    of = [*keys, "_block", "_chunk"]
-    columns = ["estimator", *keys, "sig_id", "y_true", "y_pred", "n"]
-    at = {name: k for k, name in enumerate(known)}
-
-    def walk(key: tuple, tests: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        model, wanted = pdf[pdf["sig_id"].isna()], pdf[pdf["sig_id"].notna()]
-        out = []
-        if len(tests) and len(model) and len(wanted):
-            losses, has, classes = _losses(tests, model.iloc[0], len(known), names)
-            for name in names:
-                out += [(name, *key[: len(keys)], *r) for r in _descend(losses[name], has, tests["y"].to_numpy(int), classes, at, wanted)]
-        return pd.DataFrame(out, columns=columns)
-
-    counts = left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(walk, f"estimator string, {keyed}, sig_id string, y_true int, y_pred int, n long")
-    return counts.groupBy("estimator", *keys, "sig_id", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    return left, right, [*keys, "_block", "_chunk"], keyed, known
 
 
 def _merged(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:

@@ -186,17 +186,17 @@ def final_evaluation(obs: DataFrame, chosen: DataFrame, config: SignatureConfig
     inside = inner_splits(obs, ranks, config.final_splits).withColumn("part", F.lit("cv"))
     outside = folds(obs, ranks.outer_folds).select("sample_id", "fold", F.lit(0).alias("split"), F.col("outer").alias("is_test"), F.lit("test").alias("part"))
     keys = ("part", "fold", "split")
-    of = ("part", "estimator", "fold", "split")
-    splits, extra = inside.unionByName(outside), None
+    by = ("part", "estimator", "fold", "split", "sig_id")
+    blocks = math.ceil(blocks_of(obs) / ranks.outer_folds)  # a split tests a fold's rows, or a part of the others
+    shares = evaluate.packed_shares(obs, inside.unionByName(outside), chosen, keys, ("fold",), blocks=blocks)
+    each = evaluate.shares_metrics(shares, by)
     if oversample:
         train = stored(obs.join(outside.where("not is_test").select("sample_id", "fold"), "sample_id"))
         extra = stored(resample.smote_by_fold(train, list(range(ranks.outer_folds)))).select("*", F.lit(0).alias("split"), F.lit("test_smote").alias("part"))
-        splits = splits.unionByName(outside.withColumn("part", F.lit("test_smote")))
-    sums = evaluate.loss_sums(evaluate.estimator_distances(obs, splits, keys, extra=extra), chosen, of, ("fold",))
-    sums = stored(sums)
-    by = (*of, "sig_id")
-    plain = evaluate.metrics(evaluate.confusion(evaluate.nearest(sums, by), by), by)
-    each = plain.join(evaluate.probability_metrics(evaluate.probabilities(sums, by), by), list(by))
+        splits = outside.withColumn("part", F.lit("test_smote"))
+        sums = stored(evaluate.loss_sums(evaluate.estimator_distances(obs, splits, keys, extra=extra), chosen, by[:-1], ("fold",)))
+        plain = evaluate.metrics(evaluate.confusion(evaluate.nearest(sums, by), by), by)
+        each = each.unionByName(plain.join(evaluate.probability_metrics(evaluate.probabilities(sums, by), by), list(by)))
     names = [c for c in each.columns if c not in by]
     means = each.groupBy("fold", "sig_id", "estimator", "part").agg(*[F.avg(c).alias(c) for c in names])
     place = F.array_position(F.array(*map(F.lit, evaluate.ESTIMATORS)), F.col("estimator"))
